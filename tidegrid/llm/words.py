@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 
 #: Words kept by a worker; beyond that it starts anew, so memory stays bounded.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 #: Longer words (in characters) are encoded each time.
-LONGEST = 48
+LONGEST = 40
 END_ID = 1
+#: Texts of these characters only are lower-cased at once: up to U+017F every letter is composed and, but for U+0130, has
+#: one lower-case letter, so normalising again changes nothing.
+PLAIN = re.compile("[\x00-\u012f\u0131-\u017f]*")
+#: A run of these after letters is a token group of its own in the vocabulary's pattern.
+MARKS = ".,;:!?%&$#*|"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -20,9 +27,17 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def shown() -> dict[int, str]:
+    """For every byte the character that stands for it in a byte-level vocabulary: printable ones for themselves, the
+    others in order from U+0100 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in kept)}
+
+
 class WordEncoder(dict):
     """Ids of whole texts, as Tokenizer.encode(text, add_special_tokens=False) gives them, for a tokenizer that splits at
-    white space and keeps none of it: no token spans a blank, so a text's ids are its words' ids in order.
+    white space and keeps none of it, and that parts letters from other characters: a text's ids are its words' ids in
+    order. The dict holds words' ids as bytes.
 
     The strings of special tokens count as ordinary text. Ids are kept as little-endian 16-bit integers where the
     vocabulary allows, else 32-bit.
@@ -34,13 +49,22 @@ class WordEncoder(dict):
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.merges = self.model.model
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.bytes = shown()
         super().__init__()
 
     def __missing__(self, word: str) -> bytes:
         if not word:
             return b""
-        ids = np.array(self.model.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        if word.isalpha() and word.islower() and PLAIN.fullmatch(word):
+            own = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+            ids = array(self.code, [t.id for t in self.merges.tokenize(own)]).tobytes()
+        elif (stem := word.rstrip(MARKS)) != word and stem.isalpha():
+            ids = self[stem] + self[word[len(stem) :]]
+        else:
+            ids = array(self.code, self.model.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -48,7 +72,10 @@ class WordEncoder(dict):
         return ids
 
     def raw(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").replace("\t", " ").split(" ")))
+        text = text or ""
+        if PLAIN.fullmatch(text):
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.raw(text), self.dtype)
