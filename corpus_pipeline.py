@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import packing, simhash
+from tidegrid.llm import packing, quality_rules, simhash, toxicity
 from tidegrid.llm.common import written
 
 
+def _given(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The labelled rows that models are learned from: the whole input's, whatever earlier stages have dropped."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return toxicity.without_toxic(docs, toxicity.learn(*_given(spark, sf_dir)))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the trees go."""
+    return quality_rules.kept(docs, quality_rules.learn(*_given(spark, sf_dir)))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.one_of_each(docs)
@@ -18,8 +33,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("packing", packed)]
-#: The stages read models and fingerprints that SQL doesn't express.
+STAGES = [("toxicity", clean_language), ("quality_rules", good_quality), ("simhash_near_dedup", near_duplicates), ("best_fit_packing", packed)]
+#: The stages rest on trained models, fingerprints and a tokenizer, which SQL doesn't express.
 ORACLE_SQL = None
 
 
