@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import byte_bpe, exact_topk, html_extract, packing, quality_rules, simhash, token_store, toxicity
+from tidegrid.llm import byte_bpe, exact_topk, html_extract, license_scan, packing, quality_rules, simhash, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -49,17 +53,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_toxicity, op4_exact_topk, op5_simhash, op6_quality_rules, op7_token_store, op8_html_extraction, op9_best_fit_packing)
+    f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_toxicity, op4_exact_topk, op5_simhash, op6_quality_rules, op7_token_store, op8_html_extraction, op9_best_fit_packing)
 }
 #: Top-k search is the one whose rows SQL gives in fair time on whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": """
         with v as (
-            select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as w from embeddings
+            select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as w from embeddings
             where vec_id is not null and embedding is not null
-              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (
-            select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.w, c.w), p -> p[1] * p[2])) as bigint) as score
+            select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) as bigint) as score
             from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 10
