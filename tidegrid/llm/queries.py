@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import byte_bpe, exact_topk, html_extract, license_scan, packing, quality_rules, simhash, token_store, toxicity
+from tidegrid.llm import byte_bpe, exact_topk, html_extract, license_scan, ngram_model, packing, quality_rules, simhash, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +52,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_model.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_toxicity, op4_exact_topk, op5_simhash, op6_quality_rules, op7_token_store, op8_html_extraction, op9_best_fit_packing)
+    f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_toxicity, op4_exact_topk, op5_simhash, op6_quality_rules, op7_token_store, op8_html_extraction, op9_best_fit_packing, op10_quality_classifier)
 }
 #: Top-k search is the one whose rows SQL gives in fair time on whole tables.
 ORACLE_SQL: dict[str, str] = {
