@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, with this package on the path of its Python workers wherever the driver was started."""
+    import tidegrid
+
+    context = spark.sparkContext
+    if not getattr(context, "_tidegrid_shipped", False):
+        top = os.path.dirname(os.path.abspath(tidegrid.__file__))
+        at = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tidegrid-")), "tidegrid.zip")
+        with zipfile.ZipFile(at, "w") as out:
+            for folder, _, names in os.walk(top):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(top)))
+        context.addPyFile(at)
+        context._tidegrid_shipped = True
+    return spark
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidegrid/{name}-{uuid.uuid4().hex}"
 

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm import byte_bpe, exact_topk, html_extract, license_scan, ngram_model, packing, quality_rules, simhash, token_store, toxicity
+from tidegrid.llm.common import shipped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
