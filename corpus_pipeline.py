@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm import packing, quality_rules, simhash, toxicity
-from tidegrid.llm.common import written
+from tidegrid.llm.common import shipped, written
 
 
 def _given(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The labelled rows that models are learned from: the whole input's, whatever earlier stages have dropped."""
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
@@ -25,11 +26,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    shipped(spark)
     return simhash.one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A place in a sequence for every piece of every document that is left."""
+    shipped(spark)
     return packing.packed(docs)
 
 
