@@ -1,10 +1,316 @@
-"""Named queries over the driver's tables, and the SQL that gives the same rows."""
+"""Named queries over the driver's tables, and the SQL that gives the same rows.
+
+Every query returns flat rows of scalars: path is the fields joined by "/", times are nanoseconds since 1970-01-01.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegrid.functions.paths import checked_pattern
+from tidegrid.functions.timeaxis import nanoseconds, ns_range, position
+from tidegrid.operators import fetch, rollup
+from tidegrid.params import Params
+from tidegrid.plans import adapters as A
+from tidegrid.plans.adapters import DAILY, DAY, HOUR, HOURLY, SQL
+from tidegrid.sources.files import scratch
+from tidegrid.sources.store import MetricStore, load_all
+from tidegrid.streaming.track import track_stream, windowed
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: 2024-01-01 and 1996-01-01, where the ranges of the queries begin.
+JAN, Y96 = 1_704_067_200 * 10**9, 820_454_400 * 10**9
+
+
+def add(name: str, query: Query, sql: str) -> None:
+    QUERIES[name], ORACLE_SQL[name] = query, sql
+
+
+def path(column: str = "fields"):
+    return F.array_join(column, "/").alias("path")
+
+
+def measures():
+    return [F.round("total", 4).alias("total"), F.col("count")]
+
+
+# what the SQL of many queries shares
+
+
+def cells_sql(of: str, p: Params, depth: int | None = None, where: str = "true") -> str:
+    """Cells (epoch, bucket, f, total, count): of every prefix, or of those of one depth."""
+    ups = "unnest(list_transform(generate_series(1, len(f)), lambda k: list_slice(f, 1, k)))" if depth is None else f"list_slice(f, 1, {depth})"
+    least = 1 if depth is None else depth
+    return f"""select epoch, bucket, f, sum(total) as total, sum(count) as count from (
+        select t // {p.duration} * {p.duration} as epoch, t // {p.resolution} * {p.resolution} as bucket, {ups} as f, total, count
+        from ({of}) where len(f) >= {least} and {where}) group by all"""
+
+
+def pattern_sql(pattern: list[str]) -> str:
+    return " and ".join(["true", *(f"f[{i + 1}] = '{v}'" for i, v in enumerate(pattern) if v != "*")])
+
+
+def fetch_sql(of: str, p: Params, start: int, end: int, pattern: list[str]) -> str:
+    """The dense points of a pattern's series: of those in whole epochs, on the grid of the range."""
+    r = ns_range(start, end, p)
+    return f"""with c as ({cells_sql(of, p, len(pattern), pattern_sql(pattern))}),
+        s as (select distinct epoch, f from c where epoch between {r.first_epoch} and {r.last_epoch}),
+        g as (select epoch, f, unnest(generate_series(greatest(epoch, {r.lo}), least(epoch + {p.duration}, {r.hi}) - {p.resolution}, {p.resolution})) as bucket from s)
+        select array_to_string(g.f, '/') as path, g.epoch, g.bucket, cast((g.bucket - g.epoch) // {p.resolution} as integer) as pos,
+            round(coalesce(c.total, 0), 4) as total, coalesce(c.count, 0.0) as count
+        from g left join c on g.epoch = c.epoch and g.f = c.f and g.bucket = c.bucket"""
+
+
+def flat(points: DataFrame) -> DataFrame:
+    return points.select(path(), "epoch", "bucket", "pos", *measures())
+
+
+def add_fetch(name: str, adapter: Query, p: Params, start: int, end: int, pattern: list[str]) -> None:
+    """Straight from events: the pattern below the aggregate, sums of one level only."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return flat(fetch.points(rollup.rollup_at(adapter(spark, sf_dir), p, pattern), ns_range(start, end, p), p))
+
+    add(name, run, fetch_sql(SQL[adapter], p, start, end, pattern))
+
+
+def listed(cells: DataFrame) -> DataFrame:
+    return cells.select(path(), "epoch", "bucket", *measures())
+
+
+LISTED = "select array_to_string(f, '/') as path, epoch, bucket, round(total, 4) as total, count from ({})"
+
+
+def add_rollup(name: str, adapter: Query, p: Params, pattern: list[str] | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = adapter(spark, sf_dir)
+        return listed(rollup.rollup(events, p) if pattern is None else rollup.rollup_at(events, p, pattern))
+
+    add(name, run, LISTED.format(cells_sql(SQL[adapter], p, pattern and len(pattern), pattern_sql(pattern or []))))
+
+
+# the time axis
+
+
+def bucketize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch, bucket and position of every event."""
+    rows = A.table(spark, sf_dir, "events").select("event_id", nanoseconds(F.col("ts")).alias("ts_ns"))
+    rows = rollup.bucketed(rows, HOURLY)
+    return rows.select("event_id", "epoch", "bucket", position(F.col("epoch"), F.col("bucket"), HOURLY).alias("pos"))
+
+
+add("bucketize", bucketize, f"""select event_id, t // {DAY} * {DAY} as epoch, t // {HOUR} * {HOUR} as bucket, cast(t % {DAY} // {HOUR} as integer) as pos
+    from (select event_id, epoch_us(ts) * 1000 as t from events)""")
+
+
+def epoch_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements of every epoch in a range, also of those without."""
+    span = ns_range(JAN - DAY, JAN + 32 * DAY, HOURLY)
+    n = rollup.bucketed(A.e1(spark, sf_dir), HOURLY).groupBy("epoch").agg(F.count(F.lit(1)).alias("n"))
+    return fetch.epochs(spark, span, HOURLY).join(n, "epoch", "left").select("epoch", F.coalesce("n", F.lit(0)).cast("long").alias("n_events"))
+
+
+add("epoch_partitions", epoch_partitions, f"""with n as (select t // {DAY} * {DAY} as epoch, count(*) as n from ({SQL[A.e1]}) group by all)
+    select e.epoch, coalesce(n.n, 0) as n_events from (select unnest(generate_series({JAN - DAY}, {JAN + 31 * DAY}, {DAY})) as epoch) e left join n using (epoch)""")
+
+# rollups
+
+add_rollup("prefix_rollup_all", A.e2, HOURLY)
+add_rollup("rollup_depth1", A.e2, HOURLY, ["*"])
+add_rollup("rollup_depth2", A.e2, HOURLY, ["*", "*"])
+add_rollup("rollup_depth3", A.e2, HOURLY, ["*", "*", "*"])
+add_rollup("ragged_depth", A.e3, HOURLY)
+add_rollup("preaggregated_count", A.e6, DAILY)
+add_rollup("orders_rollup", A.e4, DAILY)
+add_rollup("region_rollup", A.e7, DAILY)
+
+
+def slice_form_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One level of the rollup of all levels."""
+    return listed(rollup.cells_at(rollup.rollup(A.e2(spark, sf_dir), HOURLY), ["*", "*"]))
+
+
+add("slice_form_rollup", slice_form_rollup, ORACLE_SQL["rollup_depth2"])
+
+
+def mean_per_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fetch.mean(rollup.rollup_at(A.e1(spark, sf_dir), HOURLY, ["*"]))
+    return rows.select(path(), "bucket", F.round("mean", 4).alias("mean"))
+
+
+add("mean_per_bucket", mean_per_bucket, f"select array_to_string(f, '/') as path, bucket, round(total / count, 4) as mean from ({cells_sql(SQL[A.e1], HOURLY, 1)})")
+
+# fetches
+
+D2 = JAN + DAY
+add_fetch("fetch_exact", A.e1, HOURLY, D2, D2 + 3 * DAY, ["click", "3"])
+add_fetch("fetch_wild_last", A.e1, HOURLY, D2, D2 + 3 * DAY, ["click", "*"])
+add_fetch("fetch_wild_mid", A.e2, HOURLY, D2, D2 + 10 * DAY, ["click", "*", "13"])
+add_fetch("fetch_wild_first", A.e1, HOURLY, D2, D2 + 3 * DAY, ["*", "3"])
+add_fetch("fetch_wild_all", A.e1, HOURLY, D2, D2 + 2 * DAY, ["*", "*"])
+add_fetch("fetch_unknown", A.e1, HOURLY, D2, D2 + 3 * DAY, ["click", "zzz"])
+add_fetch("fetch_dense_zero_fill", A.e2, HOURLY, D2 + 20 * HOUR, D2 + 51 * HOUR, ["click", "*", "*"])
+add_fetch("fetch_multi_epoch", A.e1, HOURLY, D2 + 7 * HOUR, D2 + 3 * DAY + 5 * HOUR, ["*", "*"])
+add_fetch("fetch_unaligned_range", A.e1, HOURLY, D2 + 7 * HOUR + 12345, D2 + 2 * DAY + 59 * 60 * 10**9, ["view", "*"])
+add_fetch("fetch_one_bucket", A.e1, HOURLY, D2 + 5 * HOUR, D2 + 6 * HOUR, ["*", "1"])
+add_fetch("fetch_lineitem", A.e5, DAILY, Y96 + 10 * DAY, Y96 + 100 * DAY, ["*", "F"])
+add_fetch("fetch_region", A.e7, DAILY, Y96, Y96 + 45 * DAY, ["ASIA", "*"])
+add_fetch("fetch_orders_month", A.e4, DAILY, Y96, Y96 + 365 * DAY, ["*", "*"])
+
+SPAN = (JAN - 2 * DAY, D2 + 2 * DAY + 3 * HOUR)
+
+
+def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds and number of series of every chunk, also of empty ones."""
+    cells = rollup.rollup_at(A.e2(spark, sf_dir), HOURLY, ["click", "*", "*"])
+    return fetch.chunk_bounds(cells, ns_range(*SPAN, HOURLY), HOURLY).select("epoch", F.col("from").alias("from_ns"), F.col("to").alias("to_ns"), "n_series")
+
+
+def bounds_sql() -> str:
+    r = ns_range(*SPAN, HOURLY)
+    return f"""with n as (select epoch, count(distinct f) as n from ({cells_sql(SQL[A.e2], HOURLY, 3, pattern_sql(["click", "*", "*"]))}) group by all)
+        select e.epoch, greatest(e.epoch, {r.lo}) as from_ns, least(e.epoch + {DAY}, {r.hi}) as to_ns, coalesce(n.n, 0) as n_series
+        from (select unnest(generate_series({r.first_epoch}, {r.last_epoch}, {DAY})) as epoch) e left join n using (epoch)"""
+
+
+add("chunk_bounds", chunk_bounds, bounds_sql())
+
+
+def chunks_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested chunks, taken apart again."""
+    cells = rollup.rollup_at(A.e1(spark, sf_dir), HOURLY, ["*", "3"])
+    rows = fetch.chunks(cells, ns_range(D2 + 7 * HOUR, D2 + 3 * DAY, HOURLY), HOURLY).select("from", "to", F.explode("series").alias("s"))
+    rows = rows.select("from", "to", "s.fields", F.posexplode("s.points").alias("i", "point"))
+    return rows.select(F.col("from").alias("from_ns"), F.col("to").alias("to_ns"), path(), "i", F.round("point.total", 4).alias("total"), "point.count")
+
+
+add("chunks_flat", chunks_flat, f"""select greatest(epoch, {D2 + 7 * HOUR}) as from_ns, least(epoch + {DAY}, {D2 + 3 * DAY}) as to_ns, path,
+    cast((bucket - greatest(epoch, {D2 + 7 * HOUR})) // {HOUR} as integer) as i, total, count from ({fetch_sql(SQL[A.e1], HOURLY, D2 + 7 * HOUR, D2 + 3 * DAY, ["*", "3"])})""")
+
+
+def series_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of every epoch, of all depths."""
+    return fetch.series(rollup.rollup(A.e3(spark, sf_dir), HOURLY)).select("epoch", path())
+
+
+add("series_listing", series_listing, f"select distinct epoch, array_to_string(f, '/') as path from ({cells_sql(SQL[A.e3], HOURLY)})")
+
+# stores
+
+
+def store_of(spark: SparkSession, name: str, *events: DataFrame, params: Params = HOURLY) -> MetricStore:
+    """A new store in the scratch folder, with each of the tables tracked as a batch."""
+    out = MetricStore.open(spark, scratch(spark, name), params)
+    for e in events:
+        out.track(e)
+    return out
+
+
+def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = A.e1(spark, sf_dir)
+    even = F.xxhash64("ts_ns", "fields", "total") % 2 == 0
+    return rows.where(even), rows.where(~even)
+
+
+def delta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two halves tracked one after the other, added up when fetched."""
+    store = store_of(spark, "delta", *halves(spark, sf_dir))
+    return flat(store.fetch(D2, D2 + 3 * DAY, ["click", "*"]))
+
+
+add("delta_merge", delta_merge, ORACLE_SQL["fetch_wild_last"])
+
+
+def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after the deltas have been made one."""
+    store = store_of(spark, "compacted", *halves(spark, sf_dir))
+    store.compact()
+    return flat(store.fetch(D2, D2 + 3 * DAY, ["*", "3"]))
+
+
+add("compacted", compacted, ORACLE_SQL["fetch_wild_first"])
+
+
+def expire_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a store after all epochs that start before a time within one have gone."""
+    store = store_of(spark, "expire", A.e1(spark, sf_dir))
+    store.expire(JAN + 20 * DAY + HOUR)
+    return listed(rollup.cells_at(store.cells(), ["*"]))
+
+
+add("expire_before", expire_before, LISTED.format(f"select * from ({cells_sql(SQL[A.e1], HOURLY, 1)}) where epoch >= {JAN + 20 * DAY + HOUR}"))
+
+
+def retention_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs that start within the retention."""
+    p = Params.of("24h", "1h", "168h")
+    store = store_of(spark, "retention", A.e1(spark, sf_dir), params=p)
+    return flat(store.fetch(JAN, JAN + 30 * DAY, ["purchase"], now=JAN + 30 * DAY))
+
+
+add("retention_filter", retention_filter, f"select * from ({fetch_sql(SQL[A.e1], HOURLY, JAN, JAN + 30 * DAY, ['purchase'])}) where epoch >= {JAN + 23 * DAY}")
+
+
+def loaded_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores found again by their folder, side by side."""
+    root = scratch(spark, "root")
+    for name, e in (("events", A.e1(spark, sf_dir)), ("users", A.e2(spark, sf_dir))):
+        MetricStore.open(spark, f"{root}/{name}", HOURLY).track(e)
+    out = None
+    for name, store in sorted(load_all(spark, root).items()):
+        rows = flat(store.fetch(D2, D2 + DAY, ["error"])).withColumn("store", F.lit(name))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+add("loaded_stores", loaded_stores, " union all ".join(f"select *, '{name}' as store from ({fetch_sql(SQL[a], HOURLY, D2, D2 + DAY, ['error'])})" for name, a in (("events", A.e1), ("users", A.e2))))
+
+
+# streams
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = A.table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    return A.shaped(rows, F.col("ts"), [F.col("event_type"), F.col("user_id") % 5], F.col("value"))
+
+
+def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events tracked by a stream, fetched from the store."""
+    store = store_of(spark, "streamed")
+    track_stream(streamed(spark, sf_dir), store, scratch(spark, "checkpoint"), "rollup", once=True).awaitTermination()
+    return listed(rollup.summed(store.cells().where("depth = 2")))
+
+
+add("stream_rollup", stream_rollup, LISTED.format(cells_sql(SQL[A.e1], HOURLY, 2)))
+
+
+def stream_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events rolled up by a streaming aggregate whose state is written out whole."""
+    rows = streamed(spark, sf_dir).withColumn("ts", F.timestamp_micros((F.col("ts_ns") / 1000).cast("long")))
+    to = scratch(spark, "windowed")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(to)
+
+    query = windowed(rows, HOURLY).writeStream.outputMode("complete").option("checkpointLocation", scratch(spark, "checkpoint")).foreachBatch(put).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(to).select(path(), "bucket", *measures())
+
+
+add("stream_windowed", stream_windowed, f"select array_to_string(f, '/') as path, bucket, round(total, 4) as total, count from ({cells_sql(SQL[A.e1], HOURLY)})")
+
+
+def measured_strictly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest with invalid rows left out: paths with an empty or wildcard element, and null measures."""
+    rows = A.e3(spark, sf_dir).withColumn("fields", F.when(F.col("total") < 10, F.array_append("fields", F.lit(""))).otherwise(F.col("fields")))
+    return listed(rollup.rollup(rollup.measurements(rows, drop_invalid=True), HOURLY).where(F.size("fields") == len(checked_pattern(["*"]))))
+
+
+add("measured_strictly", measured_strictly, LISTED.format(cells_sql(f"select * from ({SQL[A.e3]}) where total >= 10", HOURLY, 1)))
