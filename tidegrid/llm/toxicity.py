@@ -19,6 +19,8 @@ from tidegrid.llm.words import texts
 TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
 #: Candidate terms that reach the driver, at most, and terms of the lexicon.
 CANDIDATES, TERMS = 4000, 400
+#: A term must account for at least one in so many toxic rows of the sample.
+LEAST = 90
 STEMS = range(4, 9)
 THRESHOLD = 0.7
 #: Used where no labels are given.
@@ -27,7 +29,7 @@ SEED = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "d
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "idiot proof", "worthless cheque")
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("асԁеһіјӏорԛѕԝхуѵвкмнтгαβεικνορτυχγω", "acdehijlopqswxyvbkmhtraveikvoptuxyw", strict=True))
-#: Signs written for letters, where a letter stands on either side.
+#: Signs written for letters: between letters, or one before a word.
 SIGNS = dict(zip("013457@$!|", "oieastasil", strict=True))
 
 
@@ -39,7 +41,8 @@ def folding() -> dict[int, str | None]:
 
 
 FOLDING = folding()
-SIGN = re.compile(r"(?<=[^\W\d_])[" + re.escape("".join(SIGNS)) + r"]+(?=[^\W\d_])|(?<!\w)[" + re.escape("".join(SIGNS)) + r"](?=[^\W\d_]{2})")
+_SIGNS = re.escape("".join(SIGNS))
+SIGN = re.compile(rf"(?<=[^\W\d_])[{_SIGNS}]+(?=[^\W\d_])|(?<![\w{_SIGNS}])[{_SIGNS}](?=[^\W\d_]\w)")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -108,20 +111,22 @@ class Lexicon:
 
 
 def density(weight: float, words: int) -> float:
-    """Weight in a thousand words, as a logarithm; short texts count as of 40 words."""
-    return math.log1p(1000 * weight / max(words, 40))
+    """Weight in a thousand words, as a logarithm; every text counts as 60 words longer, so one hit in a short one is no proof."""
+    return math.log1p(1000 * weight / (words + 60))
 
 
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, column: str, ones: int, zeros: int, id_col: str = "doc_id") -> DataFrame:
-    """(text, y) of at most so many labelled rows of either class, those whose ids hash lowest; held-out ids never.
+def labelled(labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, y) of the labelled ids that may be learned from; an id that is labelled repeatedly has its highest label."""
+    return labels.where(F.col(id_col).isNotNull() & F.col(column).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.max(column).cast("int").alias("y"))
 
-    An id that is labelled repeatedly has its highest label.
-    """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(column).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.max(column).cast("int").alias("y"))
+
+def sampled(docs: DataFrame, labels: DataFrame, column: str, ones: int, zeros: int, id_col: str = "doc_id") -> DataFrame:
+    """(text, y) of at most so many labelled rows of either class, those whose ids hash lowest; held-out ids never."""
+    known = labelled(labels, column, id_col)
     first = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(n)
     chosen = first(1, ones).union(first(0, zeros))
     return docs.select(id_col, "text").join(F.broadcast(chosen), id_col).select(F.coalesce("text", F.lit("")).alias("text"), "y")
@@ -135,7 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     """The lexicon that labels.toxic teaches.
 
     Terms are whole words and beginnings of words. They are counted by class over a bounded sample; from the candidates a
-    small set is chosen greedily that accounts three times for every toxic row it can, so words that merely repeat along with
+    small set is chosen greedily that accounts five times for every toxic row it can, so words that merely repeat along with
     copies of one toxic text find those rows accounted for. Weights are log odds; the score's two coefficients follow from
     the same rows by logistic regression, set back to the share of toxic rows among all labelled ones.
     """
@@ -176,9 +181,9 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     for i, r in enumerate(has):
         for t in r.terms:
             holders[t].append(i)
-    need, terms = np.full(len(has), 3), {}
+    need, terms = np.full(len(has), 5), {}
     zeros_all = max(1, rows.where("y = 0").count())
-    least = max(1, len(has) // 1000)
+    least = max(2, len(has) // LEAST)
     worth = lambda t: sum(need[i] > 0 for i in holders[t]) - 3 * telling[t].zeros - 0.5 * telling[t].term.endswith("*") + 0.01 * min(len(telling[t].term), 40)
     heap = sorted(((worth(t), -t) for t in holders), reverse=True)
     while heap and len(terms) < TERMS:
@@ -194,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
         r = telling[-t]
         if any(r.term.startswith(x.rstrip("*")) and x.endswith("*") or x.startswith(r.term.rstrip("*")) and r.term.endswith("*") for x in terms):
             continue  # one of the two accounts for the other's words
-        terms[r.term] = math.log((r.ones + 0.5) / (len(has) + 1)) - math.log((r.zeros + 0.5) / (zeros_all + 1))
+        terms[r.term] = math.log((r.ones + 0.5) / (len(has) + 1)) - math.log((r.zeros + 1.5) / (zeros_all + 1))
         for i in holders[-t]:
             need[i] -= 1
     lexicon = Lexicon(terms or dict.fromkeys(SEED, 1.0), 1.0, 0.0)
@@ -208,6 +213,8 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
 
     seen = rows.mapInArrow(over_batches(measured), "y int, x double").collect()
     x, y = np.array([r.x for r in seen]), np.array([r.y for r in seen], float)
+    told = (y == 0) | (x > 0)  # what toxic rows without any term say is noise here
+    x, y = x[told], y[told]
     w = np.zeros(2)
     design = np.stack([np.ones_like(x), x], axis=1)
     for _ in range(50):  # Newton steps with a small ridge
@@ -217,7 +224,9 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
         w += np.clip(step, -2, 2)
         if abs(step).max() < 1e-6:
             break
-    return Lexicon(terms, max(float(w[1]), 0.0), float(w[0]))
+    shares = {r.y: r.n for r in labelled(labels, "toxic", id_col).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shift = math.log(shares[1] / shares[0]) - math.log(y.sum() / (len(y) - y.sum())) if shares.get(0) and 0 < y.sum() < len(y) else 0.0
+    return Lexicon(terms, max(float(w[1]), 0.0), float(w[0]) + shift)
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
