@@ -13,6 +13,8 @@ from tidegrid.llm.components import connected_components
 
 BITS = 64
 SEED = 42
+#: A fingerprint that at least one in so many rows have is joined by broadcast: there are at most as many such.
+HEAVY = 512
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -72,13 +74,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is null). An empty table gives no rows.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "prints")
-    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
     roots = written(connected_components(ball_links(firsts)), "roots")
     linked = roots.withColumnRenamed("node", "fp").join(firsts, "fp").select("fp", "component", "first")
     lowest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     changed = linked.join(lowest, "component").select("fp", "component_id")
-    named = firsts.join(changed, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = written(firsts.join(changed, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "named")
+    least = (named.agg(F.sum("n")).first()[0] or 0) / HEAVY
+    heavy = F.broadcast(named.where(F.col("n") > least).select("fp", "component_id"))  # under HEAVY rows, whatever the input
+    rest = prints.join(heavy, "fp", "left_anti").join(named.where(F.col("n") <= least), "fp")
+    return prints.join(heavy, "fp").unionByName(rest.select("fp", "doc_id", "component_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
