@@ -61,7 +61,7 @@ class WordEncoder(dict):
         if word.isalpha() and word.islower() and PLAIN.fullmatch(word):
             own = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
             ids = array(self.code, [t.id for t in self.merges.tokenize(own)]).tobytes()
-        elif (stem := word.rstrip(MARKS)) != word and stem.isalpha():
+        elif (stem := word.rstrip(MARKS)) != word and stem.isalpha() and PLAIN.fullmatch(stem):
             ids = self[stem] + self[word[len(stem) :]]
         else:
             ids = array(self.code, self.model.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
