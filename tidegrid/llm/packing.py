@@ -20,31 +20,36 @@ from tidegrid.llm.words import END_ID, encoder, texts, vocabulary
 CAPACITY = 4096
 #: Pieces longer than this share of a sequence are large: they are grouped and planned by configurations.
 LARGE = 1 / 8
-GROUPS = 24
+#: Numbers of groups that are tried: fewer leave more room to small pieces, more round less.
+GROUPS = (24, 96)
+#: Shares of the configurations that are used: what they leave is free to fill the room that rounding leaves.
+SHARES = (1.0, 0.9, 0.7, 0.4)
 #: Pieces that are ranked together, about.
 RANKED = 50_000
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations (how many of each size) and how often to use each, covering at least part of the counts.
+def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], float]]:
+    """Configurations (how many of each size) and how often to use each, a number with fractions, to cover the counts.
 
     Column generation over the linear relaxation of cutting stock: the duals price the sizes, an unbounded knapsack finds
-    the configuration worth most, a dense simplex step takes it in. Shares are rounded down; what then remains is left to
-    the caller. sizes descend and are distinct.
+    the configuration worth most, a dense simplex step takes it in. sizes descend and are distinct.
     """
     n = len(sizes)
-    demand = np.array(counts, float)
+    demand, widths = np.array(counts, float), np.array(sizes)
+    largest, least = max(sizes), min(sizes)
     basis = np.diag([capacity // s for s in sizes]).astype(float)
     use = demand / basis.diagonal()
     for _ in range(rounds):
         duals = np.linalg.solve(basis.T, np.ones(n))
-        best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for room in range(1, capacity + 1):
-            best[room] = best[room - 1]
-            for i, s in enumerate(sizes):
-                if s <= room and best[room - s] + duals[i] > best[room] + 1e-12:
-                    best[room], choice[room] = best[room - s] + duals[i], i
-        if best[capacity] <= 1 + 1e-7:
+        best, choice = np.zeros(largest + capacity + 1), np.full(capacity + 1, -1)  # room r stands at largest + r
+        best[:largest] = -np.inf
+        for room in range(least, capacity + 1):
+            worth = best[largest + room - widths] + duals
+            i = int(worth.argmax())
+            best[largest + room] = best[largest + room - 1]
+            if worth[i] > best[largest + room] + 1e-12:
+                best[largest + room], choice[room] = worth[i], i
+        if best[-1] <= 1 + 1e-7:
             break
         column, room = np.zeros(n), capacity
         while room > 0:
@@ -62,17 +67,51 @@ def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: i
         use = np.maximum(use - ratios[out] * step, 0)
         use[out] = ratios[out]
         basis[:, out] = column
-    return [(tuple(int(x) for x in basis[:, j]), int(use[j] + 1e-6)) for j in range(n) if use[j] >= 1]
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
+    return [(tuple(int(x) for x in basis[:, j]), float(use[j])) for j in range(n)]
+
+
+def grouped(histogram: dict[int, int], capacity: int, large: float, groups: int) -> dict[int, list[tuple[int, int]]]:
+    """Linear grouping: the large lengths, in descending order, cut into groups of equal cardinality: for each group's largest
+    length the (length, pieces) that are rounded up to it. Empty where there are too few to group."""
+    big = sorted((k for k, n in histogram.items() if n and k > capacity * large), reverse=True)
+    total = sum(histogram[k] for k in big)
+    out: dict[int, list[tuple[int, int]]] = {}
+    if total < 4 * groups:
+        return out
+    share, filled, top = -(-total // groups), 0, 0
+    for k in big:
+        n = histogram[k]
+        while n:
+            top = top if filled else k
+            take = min(n, share - filled)
+            out.setdefault(top, []).append((k, take))
+            n, filled = n - take, (filled + take) % share
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: float = LARGE, groups: tuple[int, ...] = GROUPS, shares: tuple[float, ...] = SHARES) -> list[tuple[int, int, int, int, int]]:
+    """The filled_plan() that needs the fewest sequences, over numbers of groups and shares of their configurations."""
+    best: list[tuple[int, int, int, int, int]] | None = None
+    least = 0
+    for n in groups:
+        members = grouped(histogram, capacity, large, n)
+        sizes = list(members)
+        used = configurations(sizes, [sum(n for _, n in members[s]) for s in sizes], capacity) if sizes else []
+        for share in shares:
+            runs = filled_plan(histogram, capacity, members, [(c, int(share * u + 1e-6)) for c, u in used])
+            made = max((first + n for _, _, n, first, _ in runs), default=0)
+            if best is None or made < least:
+                best, least = runs, made
+    return best or []
+
+
+def filled_plan(histogram: dict[int, int], capacity: int, members: dict[int, list[tuple[int, int]]], configured: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, pieces, first sequence, offset): piece number first rank + i of that length goes to sequence
     first sequence + i at that offset. Each length's runs cover its ranks from 0 on; sequences are numbered from 0.
 
-    Linear grouping: the large lengths, in descending order, are cut into groups of equal cardinality and rounded up to
-    their group's largest. Configurations of those few sizes are optimised, then filled with the groups' actual pieces, so
-    every sequence keeps at least its planned room. The large pieces that rounding leaves over and all small ones follow by
-    best fit in descending order. Sequences alike in room stand together as runs, so the work follows the number of lengths.
+    Configurations of the groups' sizes are filled with the groups' actual pieces, so every sequence keeps at least its
+    planned room. The large pieces that they leave over and all small ones follow by best fit in descending order.
+    Sequences alike in room stand together as runs, so the work follows the number of lengths, not that of documents.
     """
     left = {k: v for k, v in histogram.items() if v > 0}
     runs: list[tuple[int, int, int, int, int]] = []
@@ -93,47 +132,29 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: float = LAR
         ranked[length] += n
         left[length] -= n
 
-    big = sorted((k for k in left if k > capacity * large), reverse=True)
-    total = sum(left[k] for k in big)
-    if big and total >= 4 * groups:
-        share = -(-total // groups)
-        members: list[list[list[int]]] = [[]]
-        filled = 0
-        for k in big:
-            n = left[k]
-            while n:
-                take = min(n, share - filled)
-                members[-1].append([k, take])
-                n, filled = n - take, filled + take
-                if filled == share:
-                    members.append([])
-                    filled = 0
-        members = [m for m in members if m]
-        merged: dict[int, list[list[int]]] = {}
-        for m in members:
-            merged.setdefault(m[0][0], []).extend(m)
-        sizes = list(merged)
-        for config, times in configurations(sizes, [sum(n for _, n in merged[s]) for s in sizes], capacity):
-            stretches = [[made, times, capacity, 0]]
-            made += times
-            for s, many in zip(sizes, config, strict=True):
-                for _ in range(many):
-                    out = []
-                    for first, n, room, offset in stretches:
-                        while n and merged[s]:
-                            k, have = merged[s][0]
-                            take = min(n, have)
-                            place(k, take, first, offset)
-                            out.append([first, take, room - k, offset + k])
-                            first, n = first + take, n - take
-                            merged[s][0][1] -= take
-                            if not merged[s][0][1]:
-                                merged[s].pop(0)
-                        if n:
-                            out.append([first, n, room, offset])
-                    stretches = out
-            for first, n, room, offset in stretches:
-                free(room, first, n, offset)
+    merged = {k: [list(x) for x in v] for k, v in members.items()}
+    sizes = list(merged)
+    for config, times in configured:
+        stretches = [[made, times, capacity, 0]]
+        made += times
+        for s, many in zip(sizes, config, strict=True):
+            for _ in range(many):
+                out = []
+                for first, n, room, offset in stretches:
+                    while n and merged[s]:
+                        k, have = merged[s][0]
+                        take = min(n, have)
+                        place(k, take, first, offset)
+                        out.append([first, take, room - k, offset + k])
+                        first, n = first + take, n - take
+                        merged[s][0][1] -= take
+                        if not merged[s][0][1]:
+                            merged[s].pop(0)
+                    if n:
+                        out.append([first, n, room, offset])
+                stretches = out
+        for first, n, room, offset in stretches:
+            free(room, first, n, offset)
     for k in sorted(left, reverse=True):
         while left[k]:
             at = bisect_left(order, k)
@@ -155,8 +176,6 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: float = LAR
                 place(k, full, first, offset + i * k)
             free(room - each * k, first, full, offset + each * k)
             free(room, first + full, n - full, offset)
-    used = {f for _, _, _, f, _ in runs}
-    assert not used or min(used) >= 0
     return runs
 
 
