@@ -22,9 +22,11 @@ from tidegrid.llm.words import texts
 
 ORDER = 5
 #: Bytes of text in a block, and of text whose n-grams are listed at once.
-BLOCK, PART = 24 << 20, 2 << 20
+BLOCK, PART = 24 << 20, 1 << 20
 #: A document is kept up to this quantile of its language's trusted documents, times this much.
 QUANTILE, SLACK = 0.99, 1.5
+#: Limits of up to so many languages are broadcast; more meet the documents in a shuffle.
+LANGUAGES = 10_000
 
 
 def codes(raw: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +47,7 @@ def codes(raw: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]
     return out[keep], np.concatenate(([0], np.cumsum(sizes)[:-1]))
 
 
-def parts(raw: list[bytes]) -> Iterator[list[bytes]]:
+def parts(raw: Iterable[bytes]) -> Iterator[list[bytes]]:
     held, size = [], 0
     for t in raw:
         held.append(t)
@@ -57,13 +59,13 @@ def parts(raw: list[bytes]) -> Iterator[list[bytes]]:
         yield held
 
 
-def counts(trusted: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """(g, c): how often each n-gram of the highest order stands in the trusted texts, all of them."""
+def counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(g, c): how often each n-gram of the highest order stands in the texts of packed_texts(), all of them."""
 
     def counted(batches: Iterable[pa.RecordBatch]):
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for raw in parts([x if isinstance(x, bytes) else (x or "").encode() for x in (zlib.decompress(t) if isinstance(t, bytes) else t for t in texts(batch.column(0)))]):
+            for raw in parts(zlib.decompress(t) for t in texts(batch.column(0))):
                 found = pc.value_counts(pa.array(codes(raw, order)[0]))
                 both = np.concatenate((keys, found.field(0).to_numpy()))
                 n = np.concatenate((sums, found.field(1).to_numpy()))
@@ -76,7 +78,7 @@ def counts(trusted: DataFrame, text_col: str = "text", order: int = ORDER) -> Da
         if len(keys):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], names=["g", "c"])
 
-    return trusted.select(text_col).mapInArrow(counted, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return trusted.select("text").mapInArrow(counted, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def discounts(table: DataFrame) -> tuple[float, float, float]:
@@ -210,6 +212,8 @@ def scored(docs: DataFrame, model: DataFrame, order: int = ORDER, id_col: str =
 
 
 def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text): the texts compressed, for the shuffle that picks the trusted ones."""
+
     def packs(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress((t or "").encode(), 1) for t in texts(batch.column(1))], pa.binary())], names=["doc_id", "text"])
 
@@ -224,12 +228,13 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
     them, takes that of all trusted documents together. Without any trusted document all rows are kept.
     """
     trusted_ids = trusted_ids.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    trusted = packed_texts(docs, id_col, text_col).join(trusted_ids, "doc_id", "left_semi")
-    model = written(counts(trusted, "text", order), "counts")
+    trusted = packed_texts(docs, id_col, text_col).join(trusted_ids.hint("merge"), "doc_id", "left_semi")  # one plan for all sizes
+    model = written(counts(trusted, order), "counts")
     rows = written(scored(docs, model, order, id_col, text_col, lang_col).withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_bytes"))), "scored")
     known = rows.join(trusted_ids, "doc_id", "left_semi")
     of = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * slack
-    limits = known.groupBy("lang").agg(of.alias("own")).where("lang is not null")
+    limits = written(known.groupBy("lang").agg(of.alias("own")).where("lang is not null"), "limits")
+    limits = F.broadcast(limits) if limits.count() <= LANGUAGES else limits
     for_all = known.agg(of.alias("for_all")).first()[0]
     limit = F.coalesce("own", F.lit(float("inf") if for_all is None else for_all))
     return rows.join(limits, "lang", "left").select("doc_id", "lang", "n_bytes", "perplexity", limit.alias("threshold"), (F.col("perplexity") <= limit).alias("kept"))
