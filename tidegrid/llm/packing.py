@@ -25,7 +25,7 @@ GROUPS = (24, 96)
 #: Shares of the configurations that are used: what they leave is free to fill the room that rounding leaves.
 SHARES = (1.0, 0.9, 0.7, 0.4)
 #: Pieces that are ranked together, about.
-RANKED = 50_000
+RANKED = 4_000
 
 
 def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], float]]:
