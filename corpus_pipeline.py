@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import packing, quality_rules, simhash, toxicity
+from tidegrid.llm import near_copies, packing, quality_rules, toxicity
 from tidegrid.llm.common import shipped, written
 
 
@@ -25,9 +25,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
     shipped(spark)
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,14 @@ def connected_components(links: DataFrame) -> DataFrame:
         if done:
             dropped(both)
             return labels.select("node", F.col("label").alias("component"))
+
+
+def first_of_each(rows: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """Of the rows (with _node, and _mark: a hash of the whole row) of each component of roots (node, component) the one with
+    the smallest id, a null one last, then the smallest node and hash. A node without a root is a component of its own.
+    """
+    order = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col("_node").alias("node"), F.col("_mark").alias("mark"))
+    lowest = written(rows.groupBy("_node").agg(F.min(order).alias("row")), "lowest")
+    of = F.coalesce("component", "_node")
+    marks = lowest.join(roots.withColumnRenamed("node", "_node"), "_node", "left").groupBy(of.alias("of")).agg(F.min("row").alias("row")).select(F.col("row.mark").alias("_mark"))
+    return rows.join(marks, "_mark", "left_semi").dropDuplicates(["_mark"])
