@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 import corpus_pipeline
-from tidegrid.llm import near_copies
+from tidegrid.llm import near_copies, simhash
 
 SF = "/root/testdata/sf0.1"
 
@@ -54,3 +56,12 @@ def test_large_group_of_near_copies(spark):
         texts.append(" ".join(other))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert [r.doc_id for r in near_copies.one_of_each(docs).collect()] == [0]
+
+
+@pytest.mark.parametrize("one_of_each", [near_copies.one_of_each, simhash.one_of_each])
+def test_nameless_rows(spark, one_of_each):
+    rows = [(5, "x y z"), (5, "x y z"), (None, "x y z"), (None, "X y  z"), (None, "quite another text"), (None, "quite another  text"), (None, "Quite another text"), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in one_of_each(docs).collect()]
+    assert sorted(kept, key=str)[:2] == [(5, "x y z"), (7, "")] and len(kept) == 3
+    assert kept[[i for i, _ in kept].index(None)][1].lower().split() == ["quite", "another", "text"]

@@ -7,9 +7,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidegrid.llm.common import over_batches, written
-from tidegrid.llm.components import connected_components
+from tidegrid.llm.components import connected_components, first_of_each
 
 BITS = 64
 SEED = 42
@@ -87,14 +88,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays, in the columns of docs.
+    """docs without near-duplicates: of each component one row stays, in the columns of docs.
 
-    Rows that repeat that smallest id stay only once; rows with a null id stay only where the whole component has none.
+    It is the row with the smallest id; a row with a null id stays only where the whole component has no other, then the one
+    with the lowest fingerprint. Rows that repeat stay only once.
     """
-    marks = near_duplicates(docs, id_col, text_col)
-    keep = marks.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(keep, id_col, "left_semi")
-    nameless = marks.where("doc_id is null and component_id is null").limit(1)
-    if docs.schema[id_col].nullable and not nameless.isEmpty():
-        return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
-    return kept.dropDuplicates([id_col])
+    at = docs.columns.index(text_col)
+
+    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, "_node"])
+
+    schema = StructType([*docs.schema.fields, StructField("_node", LongType())])
+    rows = written(docs.mapInArrow(over_batches(named), schema).withColumn("_mark", F.xxhash64(*docs.columns)), "named")
+    roots = written(connected_components(ball_links(written(rows.select(F.col("_node").alias("fp")).distinct(), "firsts"))), "roots")
+    return first_of_each(rows, roots, id_col).select(*docs.columns)
