@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import unicodedata
@@ -17,8 +18,8 @@ from tidegrid.llm.words import texts
 
 #: Labelled rows of either class that the lexicon and the calibration are learned from, at most.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
-#: Candidate terms that reach the driver, at most, and terms of the lexicon.
-CANDIDATES, TERMS = 4000, 400
+#: Terms of the lexicon, at most.
+TERMS = 400
 #: A term must account for at least one in so many toxic rows of the sample.
 LEAST = 90
 STEMS = range(4, 9)
@@ -163,44 +164,43 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
             yield out()
 
     counts = rows.mapInArrow(counted, "term string, zeros long, ones long").groupBy("term").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    telling = counts.where("ones >= 2 and ones >= 4 * zeros").orderBy(F.desc("ones"), F.length("term"), "term").limit(CANDIDATES).collect()
+    sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, zeros_all = sizes.get(1, 0), max(1, sizes.get(0, 0))
+    least = max(2, toxic // LEAST)
+    # all that could account for enough rows: what worth() adds for long terms is at most 0.4
+    telling = counts.where("ones >= 2 and ones >= 4 * zeros").where(F.col("ones") - 3 * F.col("zeros") + 0.4 >= least).orderBy(F.desc("ones"), F.length("term"), "term").collect()
     if not telling:
         return Lexicon(dict.fromkeys(SEED, 1.0), 3.0, -6.0)
     number = {r.term: i for i, r in enumerate(telling)}
 
     def met(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, sizes = [], []
-        for text in texts(batch.column(0)):
-            words = folded(text)
-            out.append(sorted(number[t] for t in terms_of(set(words)) if t in number))
-            sizes.append(len(words))
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["y", "n_words", "terms"])
+        out = [sorted(number[t] for t in terms_of(set(folded(text))) if t in number) for text in texts(batch.column(0))]
+        return pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["terms"])
 
-    has = rows.mapInArrow(over_batches(met), "y int, n_words long, terms array<int>").where("y = 1").collect()
+    # toxic rows with the same candidates count as one, as often as they stand: copies of a text take no more room than it
+    has = rows.where("y = 1").mapInArrow(over_batches(met), "terms array<int>").groupBy("terms").agg(F.count(F.lit(1)).alias("n")).collect()
     holders: dict[int, list[int]] = defaultdict(list)
     for i, r in enumerate(has):
         for t in r.terms:
             holders[t].append(i)
-    need, terms = np.full(len(has), 5), {}
-    zeros_all = max(1, rows.where("y = 0").count())
-    least = max(2, len(has) // LEAST)
-    worth = lambda t: sum(need[i] > 0 for i in holders[t]) - 3 * telling[t].zeros - 0.5 * telling[t].term.endswith("*") + 0.01 * min(len(telling[t].term), 40)
-    heap = sorted(((worth(t), -t) for t in holders), reverse=True)
+    times, need, terms = [r.n for r in has], [5] * len(has), {}
+    worth = lambda t: sum(times[i] for i in holders[t] if need[i] > 0) - 3 * telling[t].zeros - 0.5 * telling[t].term.endswith("*") + 0.01 * min(len(telling[t].term), 40)
+    heap = [(-worth(t), t) for t in holders]
+    heapq.heapify(heap)
     while heap and len(terms) < TERMS:
-        _, t = heap.pop(0)
-        now = worth(-t)
-        if heap and now < heap[0][0]:
+        _, t = heapq.heappop(heap)
+        now = worth(t)
+        if heap and now < -heap[0][0]:
             if now > 0:
-                at = next((i for i, x in enumerate(heap) if x[0] <= now), len(heap))
-                heap.insert(at, (now, t))
+                heapq.heappush(heap, (-now, t))
             continue
         if now < least:
             break
-        r = telling[-t]
+        r = telling[t]
         if any(r.term.startswith(x.rstrip("*")) and x.endswith("*") or x.startswith(r.term.rstrip("*")) and r.term.endswith("*") for x in terms):
             continue  # one of the two accounts for the other's words
-        terms[r.term] = math.log((r.ones + 0.5) / (len(has) + 1)) - math.log((r.zeros + 1.5) / (zeros_all + 1))
-        for i in holders[-t]:
+        terms[r.term] = math.log((r.ones + 0.5) / (toxic + 1)) - math.log((r.zeros + 1.5) / (zeros_all + 1))
+        for i in holders[t]:
             need[i] -= 1
     lexicon = Lexicon(terms or dict.fromkeys(SEED, 1.0), 1.0, 0.0)
 
