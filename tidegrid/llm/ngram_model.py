@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import got, new_path, over_batches, parallelism, put, written
+from tidegrid.llm.common import dropped, got, new_path, over_batches, parallelism, put, written
 from tidegrid.llm.words import texts
 
 ORDER = 5
 #: Bytes of text in a block, and of text whose n-grams are listed at once.
 BLOCK, PART = 24 << 20, 1 << 20
-#: A document is kept up to this quantile of its language's trusted documents, times this much.
-QUANTILE, SLACK = 0.99, 1.5
+#: A document is kept up to this quantile of its language's trusted documents, each scored without its fold's counts.
+QUANTILE, FOLDS = 0.99, 3
 #: Limits of up to so many languages are broadcast; more meet the documents in a shuffle.
 LANGUAGES = 10_000
 
@@ -211,28 +212,55 @@ def scored(docs: DataFrame, model: DataFrame, order: int = ORDER, id_col: str =
     return rows.mapInArrow(summed, "doc_id long, lang string, n_bytes long, log_p double")
 
 
-def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text): the texts compressed, for the shuffle that picks the trusted ones."""
+def packed_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(doc_id, lang, fold, text): the texts compressed, for the shuffle that picks the trusted ones. Equal texts share a fold."""
 
     def packs(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress((t or "").encode(), 1) for t in texts(batch.column(1))], pa.binary())], names=["doc_id", "text"])
+        raw = [(t or "").encode() for t in texts(batch.column(2))]
+        folds = pa.array([xxhash.xxh64_intdigest(t, 10) % FOLDS for t in raw], pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), folds, pa.array([zlib.compress(t, 1) for t in raw], pa.binary())], names=["doc_id", "lang", "fold", "text"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(over_batches(packs), "doc_id long, text binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(over_batches(packs), "doc_id long, lang string, fold int, text binary")
+
+
+def unpacked_texts(packed: DataFrame) -> DataFrame:
+    """(doc_id, lang, text) of rows of packed_texts()."""
+
+    def unpacks(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zlib.decompress(t).decode() for t in texts(batch.column(2))], pa.string())], names=["doc_id", "lang", "text"])
 
+    return packed.select("doc_id", "lang", "text").mapInArrow(over_batches(unpacks), "doc_id long, lang string, text string")
 
-def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+
+def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, kept) for every row of docs.
 
     The model is counted over the texts of all trusted_ids (doc_id); perplexity is a byte's. A language's threshold is the
-    quantile of its trusted documents' perplexities, times the slack; a language without trusted documents, null among
-    them, takes that of all trusted documents together. Without any trusted document all rows are kept.
+    quantile of its trusted documents' perplexities, each by a model of the other folds, so that no document vouches for
+    itself; those to which the other folds give no probability at all (few and odd texts) set no limit. A language without trusted documents, null among them, takes that of all trusted documents together. Without
+    any trusted document all rows are kept.
     """
     trusted_ids = trusted_ids.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    trusted = packed_texts(docs, id_col, text_col).join(trusted_ids.hint("merge"), "doc_id", "left_semi")  # one plan for all sizes
-    model = written(counts(trusted, order), "counts")
+    trusted = written(packed_texts(docs, id_col, text_col, lang_col).join(trusted_ids.hint("merge"), "doc_id", "left_semi"), "trusted")  # one plan for all sizes
+    by_fold = [written(counts(trusted.where(F.col("fold") == k), order), "counts") for k in range(FOLDS)]
+
+    def of_folds(folds: Iterable[int]) -> DataFrame:
+        return written(reduce(DataFrame.unionByName, [by_fold[k] for k in folds]).groupBy("g").agg(F.sum("c").alias("c")), "counts")
+
+    known = None
+    for k in range(FOLDS):
+        others = of_folds(j for j in range(FOLDS) if j != k)
+        own = scored(unpacked_texts(trusted.where(F.col("fold") == k)), others, order, "doc_id", "text", "lang")
+        own = written(own.select("lang", F.exp(-F.col("log_p") / F.col("n_bytes")).alias("perplexity")), "held_out")
+        dropped(others)
+        known = own if known is None else known.unionByName(own)
+    model = of_folds(range(FOLDS))
+    for table in (*by_fold, trusted):
+        dropped(table)
     rows = written(scored(docs, model, order, id_col, text_col, lang_col).withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_bytes"))), "scored")
-    known = rows.join(trusted_ids, "doc_id", "left_semi")
-    of = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * slack
+    of = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
+    known = known.where(F.col("perplexity") < float("inf"))
     limits = written(known.groupBy("lang").agg(of.alias("own")).where("lang is not null"), "limits")
     limits = F.broadcast(limits) if limits.count() <= LANGUAGES else limits
     for_all = known.agg(of.alias("for_all")).first()[0]
