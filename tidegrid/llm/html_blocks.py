@@ -10,6 +10,8 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Elements whose content is no text of the page.
 DROPPED = frozenset("script style template noscript title iframe object svg math canvas audio video select textarea button datalist".split())
+#: Of these, whose content is raw text: without an end tag they reach to the end of the page.
+RAW = frozenset("script style title textarea iframe".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key closes an open element of these first.
@@ -42,11 +44,33 @@ class Block:
     hidden: bool
 
 
+def closed(page: str) -> dict[int, int]:
+    """Where the end tags begin of the elements of DROPPED that are no raw text and have one, by where their start tags end."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while m := TAG.search(page, at):
+        at = m.end()
+        tag = (m[2] or m[5] or "").lower()
+        if tag not in DROPPED or (m[3] or m[6] or "").endswith("/"):
+            continue
+        if (m[1] or m[4]) == "/":
+            if opened.get(tag):
+                ends[opened[tag].pop()] = m.start()
+        elif tag in RAW:
+            end = re.compile(f"</{tag}", re.I).search(page, at)
+            at = end.start() if end else len(page)
+        else:
+            opened.setdefault(tag, []).append(at)
+    return ends
+
+
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page that have text, in page order: character references decoded, white space within them one blank.
 
     Comments, declarations, scripts and other elements without text of the page are left out. An element that is not
-    closed ends with the one around it; an end tag without a start tag does nothing.
+    closed ends with the one around it; an end tag without a start tag does nothing. Of an element without text of the
+    page that is not closed only the tag is left out, unless its content is raw text (scripts, styles), which nothing else ends.
     """
     page = page or ""
     found: list[Block] = []
@@ -71,7 +95,7 @@ def blocks(page: str | None) -> list[Block]:
             if links:
                 linked += len(text)
 
-    lower = ""
+    lower, ends = "", None
     while m := TAG.search(page, at):
         said(page[at : m.start()])
         at = m.end()
@@ -80,7 +104,12 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag, closing, attributes = tag.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if tag in DROPPED:
-            if not closing and not attributes.endswith("/"):
+            if not closing and tag not in RAW:
+                if not attributes.endswith("/"):
+                    ends = closed(page) if ends is None else ends
+                    at = ends.get(at, at)
+                parts.append(" ")
+            elif not closing and not attributes.endswith("/"):
                 lower = lower or page.lower()
                 end = lower.find(f"</{tag}", at) if len(lower) == len(page) else next((x.start() for x in re.compile(f"</{tag}", re.I).finditer(page, at)), -1)
                 at = len(page) if end < 0 else end
