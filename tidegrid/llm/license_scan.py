@@ -24,6 +24,8 @@ EXAMPLES, CALIBRATING = 220, 0.25
 ERROR = 0.01
 #: Words of a paragraph that are judged together.
 REACH = 64
+#: What stands beside a notice is judged by itself from so many words on.
+LEAST_WORDS = 4
 #: Shared word trigrams, of the shorter side, that confirm a family.
 CONFIRMED = 0.6
 
@@ -181,20 +183,53 @@ def likeness(words: list[str], family: str) -> float:
     return max((len(own & t) / max(1, min(len(own), len(t))) for t in shapes().get(family, ())), default=0.0)
 
 
-def findings(text: str | None, model: Model) -> list[tuple[int, str, float, float, bool]]:
-    """(paragraph, family, probability, likeness, confirmed) of every paragraph of a text that is a licence notice."""
-    out = []
-    for i, paragraph in enumerate((text or "").split("\n")):
-        words, best = words_of(paragraph), None
-        for at in range(0, max(1, len(words) - REACH // 2), REACH // 2):  # long paragraphs in overlapping stretches
-            part = words[at : at + REACH]
+def matched(words: list[str], family: str) -> tuple[int, int]:
+    """From where to where words have trigrams in common with the template of the family that they are most like; all if none."""
+    own = trigrams(words)
+    shape = max(shapes().get(family, [set()]), key=lambda t: len(own & t) / max(1, min(len(own), len(t))))
+    n = min(3, max(1, len(words)))
+    at = [i for i in range(len(words) - n + 1) if tuple(words[i : i + n]) in shape]
+    return (at[0], at[-1] + n) if at else (0, len(words))
+
+
+def notices(words: list[str], model: Model) -> list[tuple[int, int, str, float, float]]:
+    """(begin, end, family, probability, likeness) of the notices of a paragraph's words, in order.
+
+    The stretch most like a template is taken with the words that it shares with it, then what stands before and after is
+    judged by itself in the same way, so licences that are named next to each other are all found.
+    """
+    todo, out = [(0, len(words))], []
+    while todo:
+        a, b = todo.pop()
+        best = None
+        for at in range(a, max(a + 1, b - REACH // 2), REACH // 2):  # long paragraphs in overlapping stretches
+            part = words[at : min(b, at + REACH)]
             family, p = model.label(part)
             if family != "none":
-                alike = likeness(part, family)
-                best = max(best or (0.0,), (alike, p, family))
-        if best:
-            out.append((i, best[2], best[1], best[0], best[0] >= CONFIRMED))
-    return out
+                found = (likeness(part, family), p, family, at, at + len(part))
+                best = max(best or (-1.0,), found)
+        if not best:
+            continue
+        alike, p, family, begin, end = best
+        if alike >= CONFIRMED:
+            x, y = matched(words[begin:end], family)
+            begin, end = begin + x, begin + y
+        out.append((begin, end, family, p, alike))
+        todo += [(x, y) for x, y in ((a, begin), (end, b)) if y - x >= LEAST_WORDS]
+    merged: list[tuple[int, int, str, float, float]] = []
+    for begin, end, family, p, alike in sorted(out):
+        last = merged[-1] if merged else None
+        if last and last[2] == family and begin - last[1] < LEAST_WORDS:
+            kept = max((last[4], last[3]), (alike, p))
+            merged[-1] = (last[0], end, family, kept[1], kept[0])
+        else:
+            merged.append((begin, end, family, p, alike))
+    return merged
+
+
+def findings(text: str | None, model: Model) -> list[tuple[int, str, float, float, bool]]:
+    """(paragraph, family, probability, likeness, confirmed) of every licence notice of a text's paragraphs, in order."""
+    return [(i, family, p, alike, alike >= CONFIRMED) for i, paragraph in enumerate((text or "").split("\n")) for _, _, family, p, alike in notices(words_of(paragraph), model)]
 
 
 FOUND = "array<struct<paragraph: int, family: string, probability: double, likeness: double, confirmed: boolean>>"
