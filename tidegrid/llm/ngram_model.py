@@ -238,8 +238,9 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
 
     The model is counted over the texts of all trusted_ids (doc_id); perplexity is a byte's. A language's threshold is the
     quantile of its trusted documents' perplexities, each by a model of the other folds, so that no document vouches for
-    itself; those to which the other folds give no probability at all (few and odd texts) set no limit. A language without trusted documents, null among them, takes that of all trusted documents together. Without
-    any trusted document all rows are kept.
+    itself; those to which the other folds give no probability at all (few and odd texts) set no limit.
+    A language without trusted documents, null among them, takes that of all trusted documents together. Without any
+    trusted document all rows are kept.
     """
     trusted_ids = trusted_ids.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     trusted = written(packed_texts(docs, id_col, text_col, lang_col).join(trusted_ids.hint("merge"), "doc_id", "left_semi"), "trusted")  # one plan for all sizes
