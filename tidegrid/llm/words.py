@@ -9,8 +9,9 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-#: Words kept by a worker; beyond that it starts anew, so memory stays bounded.
-REMEMBERED = 900_000
+#: Words kept by a worker, about 200 bytes each. At half of them those met before the last half are let go, so memory
+#: stays bounded and frequent words stay.
+REMEMBERED = 200_000
 #: Longer words (in characters) are encoded each time.
 LONGEST = 40
 END_ID = 1
@@ -39,25 +40,34 @@ class WordEncoder(dict):
     white space and keeps none of it, and that parts letters from other characters: a text's ids are its words' ids in
     order. The dict holds words' ids as bytes.
 
-    The strings of special tokens count as ordinary text. Ids are kept as little-endian 16-bit integers where the
-    vocabulary allows, else 32-bit.
+    special: a text that holds the string of an added token ("<|endoftext|>") goes to the library whole, in its default
+    state, which gives such a string the token's id; else these strings count as ordinary text. Ids are kept as
+    little-endian 16-bit integers where the vocabulary allows, else 32-bit.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.library = Tokenizer.from_file(path) if special else None
+        added = self.model.get_added_tokens_decoder().values() if special else ()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added), re.I) if added else None
         self.merges = self.model.model
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.bytes = shown()
+        self.before: dict[str, bytes] = {}
         super().__init__()
 
     def __missing__(self, word: str) -> bytes:
         if not word:
             return b""
+        if word in self.before:
+            ids = self.before[word]
+            self._keep(word, ids)
+            return ids
         if word.isalpha() and word.islower() and PLAIN.fullmatch(word):
             own = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
             ids = array(self.code, [t.id for t in self.merges.tokenize(own)]).tobytes()
@@ -66,13 +76,19 @@ class WordEncoder(dict):
         else:
             ids = array(self.code, self.model.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
         if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
+            self._keep(word, ids)
         return ids
 
+    def _keep(self, word: str, ids: bytes) -> None:
+        if len(self) >= REMEMBERED // 2:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+
     def raw(self, text: str | None) -> bytes:
         text = text or ""
+        if self.added and self.added.search(text):
+            return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
         if PLAIN.fullmatch(text):
             text = text.lower()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
@@ -81,14 +97,14 @@ class WordEncoder(dict):
         return np.frombuffer(self.raw(text), self.dtype)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, special: bool = False) -> WordEncoder:
     """The encoder of this worker process; kept over tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, special) not in _encoders:
+        _encoders[path, special] = WordEncoder(path, special)
+    return _encoders[path, special]
 
 
 def texts(column: pa.Array):
