@@ -26,10 +26,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch: what a task holds of its rows beside Spark's own copy, on either side of the worker.
+BATCH = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """The session, with this package on the path of its Python workers wherever the driver was started."""
+    """The session, with this package on the path of its Python workers wherever the driver was started.
+
+    Where it doesn't say how large Arrow batches may be, they get BATCH bytes (a longer text is a batch of its own).
+    """
     import tidegrid
 
+    if BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(BATCH_CONF, str(BATCH))
     context = spark.sparkContext
     if not getattr(context, "_tidegrid_shipped", False):
         top = os.path.dirname(os.path.abspath(tidegrid.__file__))
@@ -58,11 +68,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a table of written() that no later result reads."""
-    spark, path = df.sparkSession, df._tidegrid_path
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later result reads."""
+    for df in tables:
+        spark, path = df.sparkSession, df._tidegrid_path
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def store(uri: str):
