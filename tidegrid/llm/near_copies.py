@@ -1,4 +1,8 @@
-"""Near copies by similarity of word shingles: MinHash bands propose pairs, whole shingle sets decide."""
+"""Near copies by similarity of word shingles: fingerprints and MinHash bands propose pairs, whole shingle sets decide.
+
+Two SimHash fingerprints within two bits are found by operator 5's ball hashing. At similarity 0.8 fingerprints differ in about
+ten of 64 bits, and a ball of half that radius has 8 million values, so pairs further apart are proposed by MinHash bands.
+"""
 
 from __future__ import annotations
 
@@ -7,35 +11,29 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tidegrid.llm.common import over_batches, written
+from tidegrid.llm.common import dropped, over_batches, written
 from tidegrid.llm.components import connected_components, first_of_each
+from tidegrid.llm.simhash import SEED, ball_links, hashes, majority
 from tidegrid.llm.words import texts
 
 SHINGLE, LEAST = 5, 0.8
 #: Bands of so many minima each: a pair of similarity s shares one with probability 1 - (1 - s^MINIMA)^BANDS, 0.99995 at 0.8.
 BANDS, MINIMA = 25, 5
-SEED = 7
 #: Buckets that at least one in so many entries are in meet their members by broadcast: there are at most as many such.
 HEAVY = 512
+#: Members that all others of a bucket meet in the first round of crossings(), and how much this grows from round to round.
+CENTRES, GROWTH = 8, 8
 #: Shingles whose minima are taken at once.
 PART = 4096
+#: Odd factors, one for each minimum.
+FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a text's word shingles, ascending; a text of fewer words is one shingle, one without words none."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0d separate
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if n <= shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
+    return np.unique(hashes(text, shingle))
 
 
 def node_of(found: np.ndarray) -> int:
@@ -45,11 +43,9 @@ def node_of(found: np.ndarray) -> int:
 
 def bands(found: np.ndarray) -> list[int]:
     """A signed long for each band: sets that agree in all minima of a band agree in its long."""
-    rng = np.random.default_rng(SEED)
-    factors = rng.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(found), PART):
-        least = np.minimum(least, (found[k : k + PART, None] * factors[None, :]).min(axis=0))
+        least = np.minimum(least, (found[k : k + PART, None] * FACTORS[None, :]).min(axis=0))
     rows = least.reshape(BANDS, MINIMA)
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
 
@@ -63,14 +59,21 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _named(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """docs with the node of every row's shingle set (_node) and a hash of the row (_mark)."""
+    """docs with the node of every row's shingle set (_node), its fingerprint (_fp), its bands and a hash of the row (_mark)."""
     at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes = pa.array([node_of(shingles(t, shingle)) for t in texts(batch.column(at))], pa.int64())
-        return pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, "_node"])
-
-    schema = StructType([*docs.schema.fields, StructField("_node", LongType())])
+        nodes, prints, longs = [], [], []
+        for t in texts(batch.column(at)):
+            all_of = hashes(t, shingle)
+            found = np.unique(all_of)
+            nodes.append(node_of(found))
+            prints.append(majority(all_of))
+            longs.append(bands(found) if len(found) else [])
+        own = [pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(longs, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "_node", "_fp", "_bands"])
+
+    schema = StructType([*docs.schema.fields, StructField("_node", LongType()), StructField("_fp", LongType()), StructField("_bands", ArrayType(LongType()))])
     return docs.mapInArrow(over_batches(run), schema).withColumn("_mark", F.xxhash64(*docs.columns))
 
 
@@ -78,7 +81,7 @@ def pairs(entries: DataFrame) -> DataFrame:
     """(a, b), distinct: candidates among entries (bucket, node).
 
     Every member of a bucket meets two of them, the lowest and the highest in an order of the bucket's own, so a bucket of
-    up to three is compared whole and a large one costs two pairs a member; another band has other ones to meet.
+    up to three is compared whole and a large one costs two pairs a member; crossings() has what is left of those.
     """
     order = F.struct(F.xxhash64("bucket", "node").alias("o"), F.col("node"))
     met = entries.groupBy("bucket").agg(F.min(order)["node"].alias("low"), F.max(order)["node"].alias("high"), F.count(F.lit(1)).alias("n")).where("n >= 2")
@@ -90,6 +93,16 @@ def pairs(entries: DataFrame) -> DataFrame:
     return ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def close_prints(prints: DataFrame) -> DataFrame:
+    """(a, b): candidates among prints (node, fp): the lowest node of every fingerprint meets the others of it and those of
+    fingerprints within two bits."""
+    firsts = written(prints.groupBy("fp").agg(F.min("node").alias("node")), "firsts")
+    same = prints.join(firsts.withColumnRenamed("node", "other"), "fp").select("node", "other")
+    near = ball_links(firsts.select("fp")).join(firsts.select(F.col("fp").alias("a"), "node"), "a").join(firsts.select(F.col("fp").alias("b"), F.col("node").alias("other")), "b")
+    ends = same.unionByName(near.select("node", "other")).where("node <> other")
+    return ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+
+
 def verified(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets (node, found) have the least similarity."""
 
@@ -103,33 +116,65 @@ def verified(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return candidates.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(over_batches(check), "a long, b long")
 
 
-def links(rows: DataFrame, text_col: str, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Links (a, b) between different shingle sets of the least similarity, for rows of _named().
+def crossings(entries: DataFrame, roots: DataFrame, centres: int) -> tuple[DataFrame, int]:
+    """(a, b): pairs of one bucket's members in different components, of which one is among about so many centres of the
+    bucket; and the size of the largest bucket with more than one component.
 
-    Pairs are proposed by bands, then verified on their whole sets: first each node with one partner; of the others only
-    pairs that those links don't yet join, so a large group of near copies costs few comparisons of sets.
+    Buckets of up to three were compared whole. Of the others those count whose members aren't all in one component yet,
+    so a large group of near copies, once joined, costs nothing here. With as many centres as members all pairs are met.
     """
+    of = entries.join(roots.withColumnRenamed("component", "root"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    mixed = of.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 3 and low <> high").select("bucket", "n")
+    mixed = written(mixed, "mixed")
+    largest = mixed.agg(F.max("n")).first()[0] or 0
+    if not largest:
+        return mixed.selectExpr("n as a", "n as b").limit(0), 0
+    # of() is the cheaper side to make again: an entry's place in the bucket's own order stands for a random number
+    share = F.pmod(F.xxhash64("bucket", "node", F.lit(1)), F.lit(1 << 40)) / (1 << 40)
+    met = of.join(mixed, "bucket").select("bucket", "node", "root", (share * F.col("n") <= centres).alias("centre"))
+    met = written(met, "met")
+    meets = met.where("centre").select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
+    crossed = met.join(meets, "bucket").where("root <> other_root")
+    return crossed.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), largest
 
-    def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([bands(shingles(t, shingle)) for t in texts(batch.column(1))], pa.list_(pa.int64()))], names=["node", "bands"])
+
+def links(rows: DataFrame, text_col: str, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(node, component) of the links between different shingle sets of the least similarity, for rows of _named().
+
+    Pairs are proposed by fingerprints and bands, then verified on their whole sets: first each node with one partner; of
+    the others only pairs that those links don't yet join, so a large group of near copies costs few comparisons of sets.
+    Buckets that still hold several components then meet ever more centres, in the end all members of different components.
+    """
 
     def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, shingle).astype("<u8").tobytes() for t in texts(batch.column(1))], pa.binary())], names=["node", "found"])
 
-    some = rows.where("_node <> 0").groupBy(F.col("_node").alias("node")).agg(F.min("_mark").alias("_mark"))
-    one = rows.join(some.select("_mark"), "_mark", "left_semi").select(F.col("_node").alias("node"), F.col(text_col).alias("text"))
-    one = written(one, "texts_of_nodes")
-    entries = one.mapInArrow(over_batches(signed), "node long, bands array<long>").select("node", F.explode("bands").alias("bucket")).distinct()
-    entries = written(entries, "entries")
-    proposed = written(pairs(entries), "pairs")
+    some = rows.where("_node <> 0").select(F.col("_node").alias("node"), F.col("_fp").alias("fp"), F.col("_bands").alias("bands"), F.col("_mark").alias("mark"))
+    entries = written(some.select("node", F.explode("bands").alias("bucket")).distinct(), "entries")
+    prints = some.groupBy("node").agg(F.min("fp").alias("fp"))  # sets of equal hashes may differ in repeats, so in the print
+    proposed = written(pairs(entries).union(close_prints(written(prints, "prints"))).distinct(), "pairs")
     nodes = proposed.select(F.col("a").alias("node")).union(proposed.select("b")).distinct()
-    sets = written(one.join(nodes, "node", "left_semi").mapInArrow(over_batches(packed), "node long, found binary").dropDuplicates(["node"]), "sets")
+    marks = some.groupBy("node").agg(F.min("mark").alias("_mark")).join(nodes, "node", "left_semi").select("_mark")
+    chosen = rows.join(marks, "_mark", "left_semi").dropDuplicates(["_mark"]).select(F.col("_node").alias("node"), F.col(text_col).alias("text"))
+    sets = written(chosen.mapInArrow(over_batches(packed), "node long, found binary"), "sets")
     first = proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     stars = written(verified(first, sets, least), "stars")
     hub = stars.select(F.col("b").alias("node"), F.col("a").alias("hub"))
     rest = proposed.join(hub.select(F.col("node").alias("b"), F.col("hub").alias("hub_b")), "b", "left").join(hub.select(F.col("node").alias("a"), F.col("hub").alias("hub_a")), "a", "left")
     rest = rest.join(first, ["a", "b"], "left_anti").where("not coalesce(hub_a = hub_b, false) and not coalesce(hub_b = a, false)").select("a", "b")
-    return stars.unionByName(verified(rest, sets, least))
+    found = written(stars.unionByName(verified(rest, sets, least)), "links_found")
+    roots = written(connected_components(found), "roots")
+    centres = CENTRES
+    while True:
+        crossed, largest = crossings(entries, roots, centres)
+        more = written(verified(crossed, sets, least), "links_found") if largest else None
+        if more is not None and not more.isEmpty():
+            found = written(found.unionByName(more), "links_found")
+            roots = written(connected_components(found), "roots")
+        if largest <= centres:
+            dropped(entries, proposed, sets, stars)
+            return roots
+        centres *= GROWTH
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -137,8 +182,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     It is the row with the smallest id; a row with a null id stays only where the whole group has no other. Texts with the
     same shingles are copies whatever their case or white space, texts without words (null, empty) copies of each other.
-    Candidates are found with probability 0.99995 at similarity 0.8, more above; none is linked unverified.
+    Candidates are found with probability 0.99995 at similarity 0.8, more above; none is linked unverified. Texts of any
+    length are read whole. Columns of any name stay as they are. An empty table gives no rows.
     """
     rows = written(_named(docs, text_col, shingle), "named")
-    roots = written(connected_components(written(links(rows, text_col, shingle, least), "links_found")), "roots")
-    return first_of_each(rows, roots, id_col).select(*docs.columns)
+    return first_of_each(rows, links(rows, text_col, shingle, least), id_col).select(*docs.columns)

@@ -9,36 +9,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidegrid.llm.common import over_batches, written
+from tidegrid.llm.common import over_batches, parallelism, written
 from tidegrid.llm.components import connected_components, first_of_each
 
 BITS = 64
 SEED = 42
 #: A fingerprint that at least one in so many rows have is joined by broadcast: there are at most as many such.
 HEAVY = 512
+#: Hashes whose bits are counted at once.
+PART = 16_384
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The unsigned 64-bit SimHash of a text's word shingles, repeats included; zero for a text without words."""
+def hashes(text: str | None, shingle: int = 3) -> np.ndarray:
+    """The unsigned 64-bit hash of every word shingle of a text, repeats included; none for a text without words."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only \x20 and \x09-\x0d separate
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    rows = np.array(hashes, dtype="<u8")
+        return np.array([digest(joined, SEED)], "<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), "<u8", n - shingle + 1)
+
+
+def majority(rows: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero without hashes."""
     ones = np.zeros(BITS, np.int64)
-    for k in range(0, len(rows), 65536):
-        ones += np.unpackbits(rows[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for k in range(0, len(rows), PART):
+        ones += np.unpackbits(rows[k : k + PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(rows), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The unsigned 64-bit SimHash of a text's word shingles, repeats included; zero for a text without words."""
+    return majority(hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp long) for every row: the fingerprint's 64 bits as a signed long."""
 
@@ -58,7 +67,8 @@ def ball_links(prints: DataFrame) -> DataFrame:
     deduplicated and verified.
     """
     flips = F.array(*[F.lit(0).cast("long")], *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(BITS)])
-    spread = prints.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("value"), "flip")
+    dealt = prints.select("fp").repartition(2 * parallelism(prints.sparkSession), "fp")  # each row makes 65
+    spread = dealt.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("value"), "flip")
     met = spread.groupBy("value").agg(F.expr("bit_or(flip)").alias("mask"), F.max(F.expr("flip = 0")).alias("itself"))
     met = met.where(F.bit_count("mask") + F.col("itself").cast("int") >= 2)
     members = F.filter(F.transform(flips, lambda x: F.when((x == 0) & F.col("itself") | (F.col("mask").bitwiseAND(x) != 0), F.col("value").bitwiseXOR(x))), lambda x: x.isNotNull())
