@@ -41,7 +41,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, keys = token_store.write(table(spark, sf_dir, "documents"))
+    kept, keys = token_store.write(table(spark, sf_dir, "documents"), special=True)
     return token_store.read_back(spark, kept, keys)
 
 
@@ -50,7 +50,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"))
+    return packing.packed(table(spark, sf_dir, "documents"), special=True)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -23,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import got, new_path, put, store, written
+from tidegrid.llm.common import dropped, got, new_path, put, store, written
 from tidegrid.llm.mph import PerfectHash, mixed
 from tidegrid.llm.words import END_ID, encoder, texts, vocabulary
 
-#: Documents a shard and keys an index part, about.
+#: Documents a shard and keys an index part, about. Beyond so many shards they hold more.
 SHARD_ROWS = 10_000
 PART_KEYS = 50_000
+MOST_SHARDS = 65_536
+#: Ids sampled for each shard, to find where shards end.
+SAMPLED = 64
 #: Bytes that a reader or writer holds at once, about.
 HELD = 8 << 20
 ENTRY = np.dtype([("mark", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("n", "<u8"), ("start", "<u8")])
@@ -85,40 +89,62 @@ class TokenStore:
             return np.frombuffer(f.read_at(n * self.width, at * self.width), f"<u{self.width}")
 
 
-def write(docs: DataFrame, path: str | None = None, vocab: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> tuple[TokenStore, DataFrame]:
+def ends(ids: DataFrame, rows: int, shards: int) -> tuple[int, np.ndarray]:
+    """Where shards end: how many of them end among the null ids, which stand first, and the other ends, ascending ids.
+
+    They are quantiles of a sample of at most about SAMPLED * MOST_SHARDS ids, exact integers; an id that many rows share
+    is the end of several shards.
+    """
+    if shards < 2:
+        return 0, np.zeros(0, np.int64)
+    sample = ids.select("doc_id").sample(min(1.0, SAMPLED * shards / rows), seed=7).toArrow()["doc_id"].combine_chunks()
+    known, nulls = np.sort(sample.drop_null().to_numpy()), sample.null_count
+    at = np.unique(np.arange(1, shards) * len(sample) // shards) if len(sample) else np.zeros(0, np.int64)
+    return int((at < nulls).sum()), known[at[at >= nulls] - nulls]
+
+
+def write(docs: DataFrame, path: str | None = None, vocab: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> tuple[TokenStore, DataFrame]:
     """Encodes every text and writes a store; returns it with the table of its keys (doc_id, copy).
 
-    A null text is an empty one: its ids are the end id alone. Rows that repeat a doc_id are all stored, one after the
-    other in order of their ids' bytes, as copies 0, 1, ... of the key; copy 0 has the key doc_id itself, later ones a
-    mix of both. Rows with a null doc_id stand before all others, with keys of the same kind. An empty table makes a
-    store without shards.
+    A null text is an empty one: its ids are the end id alone. special: as for WordEncoder. Rows that repeat a doc_id are
+    all stored, one after the other, as copies 0, 1, ... of the key, within a shard in order of their ids' bytes; copy 0
+    has the key doc_id itself, later ones a mix of both. Rows with a null doc_id stand before all others, with keys of the
+    same kind. An id (or null) that more rows have than a shard holds is spread over several shards. An empty table makes
+    a store without shards. Texts of any length are encoded whole; other columns are not looked at.
     """
     spark = docs.sparkSession
     path, vocab = path or new_path(spark, "tokens"), vocab or vocabulary()
-    width = encoder(vocab).dtype.itemsize
+    width = encoder(vocab, special).dtype.itemsize
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = ids.select(F.count(F.lit(1))).first()[0]
-    shards = max(1, -(-rows // SHARD_ROWS))
-    edges = np.unique(np.array(ids.select(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100_000)).first()[0] or [], np.int64)) if shards > 1 else np.zeros(0, np.int64)
+    nameless, edges = ends(ids, rows, min(MOST_SHARDS, -(-rows // SHARD_ROWS)))
+    shards = nameless + len(edges) + 1
     parts = max(1, -(-rows // PART_KEYS))
 
     def encoded(batches: Iterable[pa.RecordBatch]):
-        of = encoder(vocab)
+        of, times = encoder(vocab, special), Counter()
         end = np.array([end_id], of.dtype).tobytes()
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            shard = np.where(np.isnan(keys), 0, np.searchsorted(edges, np.nan_to_num(keys), side="right")) if batch.column(0).null_count else np.searchsorted(edges, keys, side="right")
-            raw, rows, size = [], 0, 0
-            for text in texts(batch.column(1)):
+            column = batch.column(0)
+            null = column.is_null().to_numpy(zero_copy_only=False)
+            keys = column.fill_null(0).to_numpy()
+            low, high = (np.where(null, x, nameless + np.searchsorted(edges, keys, side=side)).tolist() for x, side in ((0, "left"), (nameless, "right")))
+            raw, shard, begin, size = [], [], 0, 0
+            for k, (i, text) in enumerate(zip(column.to_pylist(), texts(batch.column(1)), strict=True)):
                 raw.append(of.raw(text) + end)
                 size += len(raw[-1])
-                if size >= HELD:
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[rows : rows + len(raw)], pa.array(shard[rows : rows + len(raw)], pa.int32()), pa.array(raw, pa.binary())], names=["doc_id", "shard", "raw"])
-                    rows, raw, size = rows + len(raw), [], 0
-            if raw:
-                yield pa.RecordBatch.from_arrays([batch.column(0)[rows:], pa.array(shard[rows:], pa.int32()), pa.array(raw, pa.binary())], names=["doc_id", "shard", "raw"])
-
-    dealt = ids.mapInArrow(encoded, "doc_id long, shard int, raw binary").repartition(len(edges) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "raw")
+                a, b = low[k], high[k]
+                if b > a + (i is not None):  # spread evenly, rows alike as well; where one goes doesn't hang on the order of a task's rows
+                    mark = zlib.crc32(raw[-1])
+                    shard.append(a + (mark + times[i, mark]) % (b - a + 1))
+                    times[i, mark] += 1
+                else:
+                    shard.append(b)
+                if size >= HELD or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([column[begin : k + 1], pa.array(shard, pa.int32()), pa.array(raw, pa.binary())], names=["doc_id", "shard", "raw"])
+                    raw, shard, begin, size = [], [], k + 1, 0
+
+    dealt = ids.mapInArrow(encoded, "doc_id long, shard int, raw binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "raw")
 
     def stored(batches: Iterable[pa.RecordBatch]):
         """Writes each shard as its rows come, sorted, and yields where each document went."""
@@ -138,7 +164,7 @@ def write(docs: DataFrame, path: str | None = None, vocab: str | None = None, en
                     system.create_dir(name.rsplit("/", 1)[0], recursive=True)
                     own = f"{name}.{np.random.default_rng().integers(1 << 62):x}"
                     out = system, system.open_output_stream(own, compression=None), own, name
-                    shard, at = to, 0
+                    shard, at, last = to, 0, ""
                 out[1].write(raw)
                 copy = copy + 1 if key == last else 0
                 last = key
@@ -152,9 +178,15 @@ def write(docs: DataFrame, path: str | None = None, vocab: str | None = None, en
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "copy", "shard", "at", "n"])
 
     places = written(dealt.mapInArrow(stored, "doc_id long, copy int, shard int, at long, n long"), "places")
-    sums = places.groupBy("shard").agg(F.sum("n").alias("own"))  # one row a shard
+    shared = pa.table({"id": pa.array([*([None] * (nameless > 0)), *(x for x, n in Counter(edges.tolist()).items() if n > 1)], pa.int64())})
+    if len(shared):  # copies are counted on from shard to shard; one row an id and shard, no more than two a shard
+        held = places.join(F.broadcast(spark.createDataFrame(shared)), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").groupBy("doc_id", "shard").agg(F.count(F.lit(1)).alias("held"))
+        before = held.selectExpr("doc_id as id", "shard as of", "sum(held) over (partition by doc_id order by shard) - held as before")
+        numbered = places.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("shard") == F.col("of")), "left")
+        places = written(numbered.select("doc_id", (F.col("copy") + F.coalesce("before", F.lit(0))).cast("int").alias("copy"), "shard", "at", "n"), "places")
+    sums = places.groupBy("shard").agg(F.sum("n").alias("own"))  # one row a shard, MOST_SHARDS at most
     bases = sums.selectExpr("shard", "coalesce(sum(own) over (order by shard rows between unbounded preceding and 1 preceding), 0) as base")
-    keyed = places.join(bases, "shard").withColumn("start", F.col("base") + F.col("at")).withColumn("key", key_of())
+    keyed = places.join(F.broadcast(bases), "shard").withColumn("start", F.col("base") + F.col("at")).withColumn("key", key_of())
 
     def parted(batches):
         for batch in batches:
@@ -168,7 +200,9 @@ def write(docs: DataFrame, path: str | None = None, vocab: str | None = None, en
             part = pa.Table.from_batches(held)
             keys = part["key"].to_numpy()
             index = PerfectHash.build(keys)
-            entries = np.zeros(len(np.unique(keys)), ENTRY)
+            if len(np.unique(keys)) < len(keys):
+                raise ValueError("two rows have the same key")
+            entries = np.zeros(len(keys), ENTRY)
             slots = index.slots(keys)
             entries["mark"][slots] = mark_of(keys)
             for name in ("shard", "at", "n", "start"):
@@ -189,7 +223,7 @@ def write(docs: DataFrame, path: str | None = None, vocab: str | None = None, en
             yield flushed()
 
     rows = keyed.select("key", "shard", "at", "n", "start").mapInArrow(parted, "key long, shard int, at long, n long, start long, part int")
-    written(rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(indexed, "keys long"), "keys")
+    dropped(written(rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(indexed, "keys long"), "keys"))
     return TokenStore(path, parts, width), places.select("doc_id", "copy")
 
 
@@ -202,7 +236,7 @@ def read_back(spark: SparkSession, kept: TokenStore, keys: DataFrame, id_col: st
     """(doc_id, start, n_tokens, ids_crc32) for every row of keys (doc_id, copy), from the store's files alone.
 
     Keys go to their index part, which gives their places; those go to their shard, whose payload is read range by range
-    in order. Keys that are not stored give no row.
+    in order. A key that is not stored stops the job.
     """
     path, parts, width = kept.path, kept.parts, kept.width
 
@@ -219,8 +253,9 @@ def read_back(spark: SparkSession, kept: TokenStore, keys: DataFrame, id_col: st
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b > a:
                     entries, found = own.places(key[a:b], int(of[a]))
-                    entries = entries[found]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(found)), *(pa.array(entries[k].astype(np.int64)) for k in ("shard", "at", "n", "start"))], names=["doc_id", "shard", "at", "n", "start"])
+                    if not found.all():
+                        raise KeyError(f"{int((~found).sum())} keys are not stored, {key[a:b][~found][0]} among them")
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(entries[k].astype(np.int64)) for k in ("shard", "at", "n", "start"))], names=["doc_id", "shard", "at", "n", "start"])
 
     def summed(batches):
         own = TokenStore(path, parts, width)
@@ -239,7 +274,7 @@ def read_back(spark: SparkSession, kept: TokenStore, keys: DataFrame, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(3), pa.array(crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     asked = keys.withColumn("key", key_of()).select(F.col(id_col).alias("doc_id"), "key").mapInArrow(parted, "doc_id long, key long, part int")
-    found = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(looked_up, "doc_id long, shard long, at long, n long, start long")
+    found = asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(looked_up, "doc_id long, shard long, at long, n long, start long")
     dealt = found.withColumn("stretch", F.floor(F.col("at") * width / (4 * HELD)))
     dealt = dealt.repartition(F.col("shard"), F.col("stretch")).sortWithinPartitions("shard", "at").select("doc_id", "shard", "at", "n", "start")
     return dealt.mapInArrow(summed, "doc_id long, start long, n_tokens long, ids_crc32 long")
