@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A place in a sequence for every piece of every document that is left."""
     shipped(spark)
-    return packing.packed(docs)
+    return packing.packed(docs, special=True)
 
 
 STAGES = [("toxicity", clean_language), ("quality_rules", good_quality), ("simhash_near_dedup", near_duplicates), ("best_fit_packing", packed)]

@@ -112,12 +112,11 @@ def packed_well(rows, capacity):
     return len(places)
 
 
-@pytest.mark.parametrize("ranked", [packing.RANKED, 3])
-def test_packing(spark, library, monkeypatch, ranked):
-    monkeypatch.setattr(packing, "RANKED", ranked)
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_packing(spark, library, tasks):
     texts = [*ODD, *noise(13, 60, 300), *["same text here"] * 40]
     ids = [*range(len(texts) - 1), None]
-    rows = packing.packed(documents(spark, texts, ids), capacity=64).collect()
+    rows = packing.packed(documents(spark, texts, ids).repartition(tasks), capacity=64).collect()
     assert packed_well(rows, 64) <= 1.05 * sum(r.length for r in rows) / 64 + 2
     want = []
     for i, t in zip(ids, texts, strict=True):

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,24 +24,26 @@ CAPACITY = 4096
 LARGE = 1 / 8
 #: Numbers of groups that are tried: fewer leave more room to small pieces, more round less.
 GROUPS = (24, 96)
+#: Simplex steps without gain, one after the other, that end the column generation.
+STALLED = 1_000
 #: Shares of the configurations that are used: what they leave is free to fill the room that rounding leaves.
 SHARES = (1.0, 0.9, 0.7, 0.4)
-#: Pieces that are ranked together, about.
-RANKED = 4_000
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], float]]:
+def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], float]]:
     """Configurations (how many of each size) and how often to use each, a number with fractions, to cover the counts.
 
     Column generation over the linear relaxation of cutting stock: the duals price the sizes, an unbounded knapsack finds
-    the configuration worth most, a dense simplex step takes it in. sizes descend and are distinct.
+    the configuration worth most, a dense simplex step takes it in, until none is worth more than a sequence. sizes descend
+    and are distinct. Steps that change nothing could go round in a circle: after STALLED such steps in a row it ends.
     """
     n = len(sizes)
     demand, widths = np.array(counts, float), np.array(sizes)
     largest, least = max(sizes), min(sizes)
     basis = np.diag([capacity // s for s in sizes]).astype(float)
     use = demand / basis.diagonal()
-    for _ in range(rounds):
+    stalled = 0
+    while stalled < STALLED:
         duals = np.linalg.solve(basis.T, np.ones(n))
         best, choice = np.zeros(largest + capacity + 1), np.full(capacity + 1, -1)  # room r stands at largest + r
         best[:largest] = -np.inf
@@ -64,6 +68,7 @@ def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: i
         out = int(ratios.argmin())
         if not np.isfinite(ratios[out]):
             break
+        stalled = 0 if ratios[out] > 1e-9 else stalled + 1
         use = np.maximum(use - ratios[out] * step, 0)
         use[out] = ratios[out]
         basis[:, out] = column
@@ -72,11 +77,11 @@ def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: i
 
 def grouped(histogram: dict[int, int], capacity: int, large: float, groups: int) -> dict[int, list[tuple[int, int]]]:
     """Linear grouping: the large lengths, in descending order, cut into groups of equal cardinality: for each group's largest
-    length the (length, pieces) that are rounded up to it. Empty where there are too few to group."""
+    length the (length, pieces) that are rounded up to it. With fewer large pieces than groups each is a group."""
     big = sorted((k for k, n in histogram.items() if n and k > capacity * large), reverse=True)
     total = sum(histogram[k] for k in big)
     out: dict[int, list[tuple[int, int]]] = {}
-    if total < 4 * groups:
+    if not total:
         return out
     share, filled, top = -(-total // groups), 0, 0
     for k in big:
@@ -179,39 +184,46 @@ def filled_plan(histogram: dict[int, int], capacity: int, members: dict[int, lis
     return runs
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) for every piece of every row's ids, the end id included."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, task, within) for every piece of every row's ids, the end id included.
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        of, out = encoder(path), []
+    task is the number of the task that cut the piece, within its place among the task's pieces of that length; they hold
+    for a table that is written once.
+    """
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "within"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+
+    def cut(batches):
+        of, seen, task = encoder(path, special), Counter(), TaskContext.get().partitionId()
         end = np.array([end_id], of.dtype).tobytes()
-        for i, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-            ids = np.frombuffer(of.raw(text) + end, of.dtype)
-            for k, start in enumerate(range(0, len(ids), capacity)):
-                part = ids[start : start + capacity].astype("<u4")
-                out.append((i, k, start, len(part), zlib.crc32(part)))
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
+        for batch in batches:
+            out = []
+            for i, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                ids = np.frombuffer(of.raw(text) + end, of.dtype)
+                for k, start in enumerate(range(0, len(ids), capacity)):
+                    part = ids[start : start + capacity].astype("<u4")
+                    out.append((i, k, start, len(part), zlib.crc32(part), task, seen[len(part)]))
+                    seen[len(part)] += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(over_batches(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, within long")
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): a place for every piece of every row.
 
-    A null text is an empty one: a single piece of the end id. Repeated rows are packed each on its own; rows with a null id
-    are packed too. An empty table gives no rows. Pieces of one length are interchangeable; they are ranked within salted
-    parts of the length, so a length that most pieces share is split over many tasks.
+    A null text is an empty one: a single piece of the end id. special: as for WordEncoder. Repeated rows are packed each
+    on its own; rows with a null id are packed too. An empty table gives no rows. Texts of any length are cut whole. Other
+    columns are not looked at. Pieces of one length are interchangeable: a piece's rank among them is its place within its
+    task after those of earlier tasks, so nothing is sorted and a length or id that most pieces share makes no large group.
     """
-    cut = written(pieces(docs, path or vocabulary(), capacity, end_id, id_col, text_col), "pieces")
-    salts = max(1, cut.count() // RANKED)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
-    sizes = written(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    cut = written(pieces(docs, path or vocabulary(), capacity, end_id, id_col, text_col, special), "pieces")
+    sizes = written(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "sizes")  # up to `capacity` rows a task
     histogram = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs = sorted(plan(histogram, capacity))
-    before = sizes.selectExpr("length", "salt", "sum(n) over (partition by length order by salt) - n as before")
-    ranked = salted.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece, ids_crc32) - 1 as within")
-    ranked = ranked.join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within")).alias("rank"))
+    before = sizes.selectExpr("length", "task", "sum(n) over (partition by length order by task) - n as before")
+    ranked = cut.join(before, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within")).alias("rank"))
     length, first, _, sequence, offset = (np.array(x, np.int64) for x in (zip(*runs, strict=True) if runs else [()] * 5))
     key = length * (1 << 48) + first
 
