@@ -78,9 +78,10 @@ def base_failed(base: list[int]) -> bool:
     return base[0] < FEWEST_WORDS or 100 * base[4] > MOST_REPEATED * base[0]
 
 
-def learn(docs: DataFrame, labels: DataFrame, good_rows: int = GOOD_ROWS, bad_rows: int = BAD_ROWS, id_col: str = "doc_id") -> Trees | None:
-    """Trees for the chance that labels.quality is 1, from a bounded sample of labelled rows (those whose ids hash lowest).
+def learn(docs: DataFrame, labels: DataFrame, good_rows: int = GOOD_ROWS, bad_rows: int = BAD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Trees | None:
+    """Trees for the chance that labels.quality is 1, from a bounded sample of labelled ids (those that hash lowest).
 
+    An id that stands in several rows counts once, with the least of its texts, so repeated rows don't swell the sample.
     The sample is balanced otherwise than the labels; the trees' base is set back to the labels' own share. None where
     either class is missing: then only the base rules decide.
     """
@@ -89,12 +90,13 @@ def learn(docs: DataFrame, labels: DataFrame, good_rows: int = GOOD_ROWS, bad_ro
     if not shares.get(0) or not shares.get(1):
         return None
     first = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(n)
-    chosen = first(1, good_rows).union(first(0, bad_rows))
+    chosen = first(1, good_rows).union(first(0, bad_rows)).select(F.col(id_col).alias("id"), "y")
 
     def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array([statistics(t)[1] for t in texts(batch.column(0))], pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = docs.select(id_col, "text").join(F.broadcast(chosen), id_col).select("text", "y").mapInArrow(over_batches(measured), "y int, x array<double>").collect()
+    texts_of = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = texts_of.select("text", "y").mapInArrow(over_batches(measured), "y int, x array<double>").collect()
     if len({r.y for r in rows}) < 2:
         return None
     x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
