@@ -13,16 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import over_batches
+from tidegrid.llm.common import dropped, over_batches, parallelism, written
 from tidegrid.llm.words import texts
 
 #: Labelled rows of either class that the lexicon and the calibration are learned from, at most.
 TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
-#: Terms of the lexicon, at most.
-TERMS = 400
-#: A term must account for at least one in so many toxic rows of the sample.
+#: A term must account for at least one in so many toxic rows of the sample, five times each: so there are 5 * LEAST at most.
 LEAST = 90
-STEMS = range(4, 9)
+#: Letters of a word's beginnings that are terms: no word that people write as an insult has more.
+STEMS = range(4, 33)
 THRESHOLD = 0.7
 #: Used where no labels are given.
 SEED = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting")
@@ -69,13 +68,14 @@ class Lexicon:
         return Lexicon, (self.terms, self.a, self.b, self.exceptions)
 
     def automaton(self):
+        """Finds terms, with their weight and whether they are whole words, and exception phrases, with their length."""
         import ahocorasick
 
         out = ahocorasick.Automaton()
         for term, weight in self.terms.items():
-            out.add_word(f" {term[:-1]}" if term.endswith("*") else f" {term} ", (weight, not term.endswith("*")))
+            out.add_word(f" {term[:-1]}" if term.endswith("*") else f" {term} ", (weight, not term.endswith("*"), 0))
         for phrase in self.exceptions:
-            out.add_word(f" {phrase} ", (0.0, True))
+            out.add_word(f" {phrase} ", (0.0, True, len(phrase) + 2))
         if len(out):
             out.make_automaton()
         return out
@@ -87,24 +87,28 @@ class Lexicon:
         found: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
         text = f" {' '.join(words)} "
-        for end, (weight, whole) in automaton.iter(text):
-            if weight:
+        for end, (weight, whole, phrase) in automaton.iter(text):
+            if phrase:
+                spared.append((end - phrase + 1, end))
+            elif weight:
                 at = text.rindex(" ", 0, end if whole else end + 1)  # the blank before the word
                 found[at] = max(found.get(at, 0.0), weight)
         if not text.isascii():  # accents put on letters of whole words
             bare = plain(text)
             if len(bare) == len(text):
-                for end, (weight, whole) in automaton.iter(bare):
-                    if weight and whole:
+                for end, (weight, whole, phrase) in automaton.iter(bare):
+                    if weight and whole and not phrase:
                         at = bare.rindex(" ", 0, end)
                         found[at] = max(found.get(at, 0.0), weight)
-        if found:
-            for end, (weight, _) in automaton.iter(text):
-                if not weight:
-                    phrase = next(p for p in self.exceptions if text.endswith(f" {p} ", 0, end + 1))
-                    spared.append((end - len(phrase) - 1, end))
-        kept = [w for at, w in found.items() if not any(a <= at < b for a, b in spared)]
-        return sum(kept), len(kept)
+        total, hits, k, reach = 0.0, 0, 0, -1
+        spared.sort()
+        for at in sorted(found):  # both in order: every phrase that begins at or before a word is passed once
+            while k < len(spared) and spared[k][0] <= at:
+                reach = max(reach, spared[k][1])
+                k += 1
+            if at >= reach:
+                total, hits = total + found[at], hits + 1
+        return total, hits
 
     def score(self, weight: float, words: int) -> float:
         """0 to 1, rising with the weight found per word."""
@@ -125,27 +129,32 @@ def labelled(labels: DataFrame, column: str, id_col: str = "doc_id") -> DataFram
     return labels.where(F.col(id_col).isNotNull() & F.col(column).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.max(column).cast("int").alias("y"))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, column: str, ones: int, zeros: int, id_col: str = "doc_id") -> DataFrame:
-    """(text, y) of at most so many labelled rows of either class, those whose ids hash lowest; held-out ids never."""
+def sampled(docs: DataFrame, labels: DataFrame, column: str, ones: int, zeros: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, y) of at most so many labelled ids of either class, those that hash lowest; held-out ids never.
+
+    An id that stands in several rows counts once, with the least of its texts, so repeated rows don't swell the sample.
+    """
     known = labelled(labels, column, id_col)
     first = lambda y, n: known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(n)
-    chosen = first(1, ones).union(first(0, zeros))
-    return docs.select(id_col, "text").join(F.broadcast(chosen), id_col).select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    chosen = first(1, ones).union(first(0, zeros)).select(F.col(id_col).alias("id"), "y")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    return rows.groupBy("id", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def terms_of(words: set[str]) -> set[str]:
-    return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
+    return words | {f"{w[:n]}*" for w in words for n in STEMS[: max(0, len(w) - STEMS[0])]}
 
 
-def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, id_col: str = "doc_id") -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """The lexicon that labels.toxic teaches.
 
-    Terms are whole words and beginnings of words. They are counted by class over a bounded sample; from the candidates a
-    small set is chosen greedily that accounts five times for every toxic row it can, so words that merely repeat along with
-    copies of one toxic text find those rows accounted for. Weights are log odds; the score's two coefficients follow from
-    the same rows by logistic regression, set back to the share of toxic rows among all labelled ones.
+    Terms are whole words and beginnings of words. They are counted by class over a bounded sample, which is written once;
+    from the candidates a small set is chosen greedily that accounts five times for every toxic row it can, so words that
+    merely repeat along with copies of one toxic text find those rows accounted for. It ends where no term accounts for
+    enough rows more. Weights are log odds; the score's two coefficients follow from the same rows by logistic regression,
+    set back to the share of toxic rows among all labelled ones. Without labels, or without telling terms, it is SEED.
     """
-    rows = sampled(docs, labels, "toxic", toxic_rows, clean_rows, id_col)
+    rows = written(sampled(docs, labels, "toxic", toxic_rows, clean_rows, id_col, text_col).repartition(parallelism(docs.sparkSession)), "sample")
 
     def counted(batches):
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -170,6 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     # all that could account for enough rows: what worth() adds for long terms is at most 0.4
     telling = counts.where("ones >= 2 and ones >= 4 * zeros").where(F.col("ones") - 3 * F.col("zeros") + 0.4 >= least).orderBy(F.desc("ones"), F.length("term"), "term").collect()
     if not telling:
+        dropped(rows)
         return Lexicon(dict.fromkeys(SEED, 1.0), 3.0, -6.0)
     number = {r.term: i for i, r in enumerate(telling)}
 
@@ -187,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     worth = lambda t: sum(times[i] for i in holders[t] if need[i] > 0) - 3 * telling[t].zeros - 0.5 * telling[t].term.endswith("*") + 0.01 * min(len(telling[t].term), 40)
     heap = [(-worth(t), t) for t in holders]
     heapq.heapify(heap)
-    while heap and len(terms) < TERMS:
+    while heap:
         _, t = heapq.heappop(heap)
         now = worth(t)
         if heap and now < -heap[0][0]:
@@ -212,6 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.float64())], names=["y", "x"])
 
     seen = rows.mapInArrow(over_batches(measured), "y int, x double").collect()
+    dropped(rows)
     x, y = np.array([r.x for r in seen]), np.array([r.y for r in seen], float)
     told = (y == 0) | (x > 0)  # what toxic rows without any term say is noise here
     x, y = x[told], y[told]
