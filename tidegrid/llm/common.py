@@ -99,6 +99,13 @@ def got(uri: str) -> bytes:
         return f.read()
 
 
+def there(uri: str) -> bool:
+    from pyarrow import fs
+
+    system, path = store(uri)
+    return system.get_file_info(path).type == fs.FileType.File
+
+
 def over_batches(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: f on every batch that has rows."""
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import dropped, got, new_path, over_batches, parallelism, put, written
+from tidegrid.llm.common import dropped, got, new_path, over_batches, parallelism, put, there, written
 from tidegrid.llm.words import texts
 
 ORDER = 5
@@ -26,6 +26,8 @@ ORDER = 5
 BLOCK, PART = 24 << 20, 1 << 20
 #: A document is kept up to this quantile of its language's trusted documents, each scored without its fold's counts.
 QUANTILE, FOLDS = 0.99, 3
+#: Times that rows are read again whose block came out otherwise.
+TRIES = 5
 #: Limits of up to so many languages are broadcast; more meet the documents in a shuffle.
 LANGUAGES = 10_000
 
@@ -98,11 +100,11 @@ def probabilities(model: DataFrame, asked: DataFrame, order: int = ORDER) -> Dat
     leave of a context goes to the next lower order; an unseen context passes all of it on.
     """
     tables = {order: model}
-    wanted = {order: asked}
+    wanted = {order: written(asked, "wanted")}
     for k in range(order - 1, 0, -1):
         mask = (1 << 8 * k) - 1
         tables[k] = written(tables[k + 1].groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count(F.lit(1)).alias("c")), "counts")
-        wanted[k] = wanted[k + 1].select(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).distinct()
+        wanted[k] = written(wanted[k + 1].select(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).distinct(), "wanted")
     known = None
     for k in range(1, order + 1):
         one, two, more = discounts(tables[k])
@@ -118,7 +120,8 @@ def probabilities(model: DataFrame, asked: DataFrame, order: int = ORDER) -> Dat
             rows = rows.withColumn("tail", F.col("g").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(below, "tail")
         own = F.col("c") - F.when(F.col("c") == 1, one).when(F.col("c") == 2, two).otherwise(more)
         p = F.when(F.col("total").isNull(), F.col("lower")).otherwise((F.coalesce(F.greatest(own, F.lit(0.0)), F.lit(0.0)) + F.col("rest") * F.col("lower")) / F.col("total"))
-        known = written(rows.select("g", p.alias("p")), "known")
+        before, known = known, written(rows.select("g", p.alias("p")), "known")
+        dropped(wanted[k], *([before] if before is not None else []), *([tables[k]] if k < order else []))
     return known
 
 
@@ -149,14 +152,29 @@ def blocks(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[tuple[int, li
 
 
 def scored(docs: DataFrame, model: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, n_bytes, log_p) for every row: the log probability of its whole text's bytes and its end.
+    """(doc_id, lang, n_bytes, log_p) for every row: the log probability of its whole text's bytes and its end; written.
 
-    The rows are read twice and fall into the same blocks both times, since a table's partitions keep their order; a block
-    whose answers are missing stops the job rather than passing unscored. A null text is an empty one, of which only the
-    end is predicted. Rows that repeat or have null ids or languages are scored like others.
+    The rows are read twice and fall into the same blocks both times as long as partitions keep their order. Those of a
+    block that comes out otherwise the second time, because docs is made anew in another order or by other executors, are
+    put down and asked for again, so each row is scored once whatever happens. A null text is an empty one, of which only
+    the end is predicted. Rows that repeat or have null ids or languages are scored like others, texts of any length whole.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    path = new_path(docs.sparkSession, "answers")
+    done, left = None, None
+    for _ in range(TRIES):
+        once = written(_asked_and_summed(rows, model, order), "scored")
+        good = once.where("log_p is not null").select("doc_id", "lang", "n_bytes", "log_p")
+        done = good if done is None else done.unionByName(good)
+        left = once.where("log_p is null")
+        if left.isEmpty():
+            return done
+        rows = left.select("doc_id", "lang", F.col("raw").cast("string").alias("text"))
+    raise RuntimeError("rows fall into other blocks each time they are read")
+
+
+def _asked_and_summed(rows: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """scored() of rows (doc_id, lang, text), with raw: the text of rows that got no answers, whose log_p is null."""
+    path = new_path(rows.sparkSession, "answers")
 
     def asks(batches):
         for key, raw, _ in blocks(batches, 0):
@@ -167,6 +185,7 @@ def scored(docs: DataFrame, model: DataFrame, order: int = ORDER, id_col: str =
 
     asked = written(rows.select("text").mapInArrow(asks, "block long, g long"), "asked")
     known = probabilities(model, asked.select("g").distinct(), order)
+    tasks = parallelism(rows.sparkSession)
 
     def answers(batches):
         held, block = [], None
@@ -191,25 +210,29 @@ def scored(docs: DataFrame, model: DataFrame, order: int = ORDER, id_col: str =
         if held:
             yield told()
 
-    met = asked.join(known, "g").select("block", "g", "p").repartition(parallelism(docs.sparkSession), "block").sortWithinPartitions("block")
+    met = asked.join(known, "g").select("block", "g", "p").repartition(tasks, "block").sortWithinPartitions("block")
     met.mapInArrow(answers, "n long").agg(F.sum("n")).collect()
+    dropped(asked, known)
 
     def summed(batches):
         for key, raw, own in blocks(batches, 2):
-            data = got(f"{path}/{key:016x}.bin")
-            g, log_p = np.frombuffer(data, "<i8", len(data) // 16), np.frombuffer(data, "<f8", -1, len(data) // 2)
-            sums = []
-            for part in parts(raw):
-                found, starts = codes(part, order)
-                told = pc.dictionary_encode(pa.array(found))
-                at = np.searchsorted(g, told.dictionary.to_numpy())
-                sums.append(np.add.reduceat(log_p[at][told.indices.to_numpy()], starts))
+            sums, texts_left = pa.nulls(len(raw), pa.float64()), pa.array(raw, pa.binary())
+            if there(f"{path}/{key:016x}.bin"):
+                data = got(f"{path}/{key:016x}.bin")
+                g, log_p = np.frombuffer(data, "<i8", len(data) // 16), np.frombuffer(data, "<f8", -1, len(data) // 2)
+                found_sums = []
+                for part in parts(raw):
+                    found, starts = codes(part, order)
+                    told = pc.dictionary_encode(pa.array(found))
+                    at = np.searchsorted(g, told.dictionary.to_numpy())
+                    found_sums.append(np.add.reduceat(log_p[at][told.indices.to_numpy()], starts))
+                sums, texts_left = pa.array(np.concatenate(found_sums)), pa.nulls(len(raw), pa.binary())
             together = pa.Table.from_batches(own).combine_chunks()
             n = pa.array([len(t) + 1 for t in raw], pa.int64())
             one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-            yield pa.RecordBatch.from_arrays([one(together["doc_id"]), one(together["lang"]), n, pa.array(np.concatenate(sums))], names=["doc_id", "lang", "n_bytes", "log_p"])
+            yield pa.RecordBatch.from_arrays([one(together["doc_id"]), one(together["lang"]), n, sums, texts_left], names=["doc_id", "lang", "n_bytes", "log_p", "raw"])
 
-    return rows.mapInArrow(summed, "doc_id long, lang string, n_bytes long, log_p double")
+    return rows.mapInArrow(summed, "doc_id long, lang string, n_bytes long, log_p double, raw binary")
 
 
 def packed_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -238,7 +261,8 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
 
     The model is counted over the texts of all trusted_ids (doc_id); perplexity is a byte's. A language's threshold is the
     quantile of its trusted documents' perplexities, each by a model of the other folds, so that no document vouches for
-    itself; those to which the other folds give no probability at all (few and odd texts) set no limit.
+    itself; those to which the other folds give no probability at all (few and odd texts) set no limit. A trusted id that
+    many rows share is split by the skew handling of the join that picks trusted rows. An empty table gives no rows.
     A language without trusted documents, null among them, takes that of all trusted documents together. Without any
     trusted document all rows are kept.
     """
@@ -252,14 +276,14 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
     known = None
     for k in range(FOLDS):
         others = of_folds(j for j in range(FOLDS) if j != k)
-        own = scored(unpacked_texts(trusted.where(F.col("fold") == k)), others, order, "doc_id", "text", "lang")
-        own = written(own.select("lang", F.exp(-F.col("log_p") / F.col("n_bytes")).alias("perplexity")), "held_out")
+        own = scored(unpacked_texts(trusted.where(F.col("fold") == k)), others, order, "doc_id", "text", "lang").select("lang", F.exp(-F.col("log_p") / F.col("n_bytes")).alias("perplexity"))
         dropped(others)
         known = own if known is None else known.unionByName(own)
     model = of_folds(range(FOLDS))
     for table in (*by_fold, trusted):
         dropped(table)
-    rows = written(scored(docs, model, order, id_col, text_col, lang_col).withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_bytes"))), "scored")
+    rows = scored(docs, model, order, id_col, text_col, lang_col).withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_bytes")))
+    dropped(model)
     of = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     known = known.where(F.col("perplexity") < float("inf"))
     limits = written(known.groupBy("lang").agg(of.alias("own")).where("lang is not null"), "limits")
