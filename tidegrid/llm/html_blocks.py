@@ -23,25 +23,77 @@ POOR = frozenset("ad ads adv advert advertisement advertising sponsor sponsored
 RICH = frozenset("article content main post entry story body text articlebody blog".split())
 COMMENTS = frozenset("comment comments respond reply replies discussion disqus".split())
 ASIDE = frozenset("nav footer aside form dialog menu search".split())
+#: Stands among an element's words where it is one of several alike.
+REPEATED = "*"
 PART = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"([a-z])([A-Z])")
+
+
+#: Of the elements around a block those that tell what it is, and the words of class, id and role that do.
+TELLING_TAGS = frozenset("article main header".split()) | ASIDE
+TELLING = POOR | RICH
+#: A name that joins one of these to "header" is the head of an article, no site's: post-header, entry-header.
+OWN = frozenset("post entry article story".split())
 
 
 @dataclass(slots=True)
 class Element:
+    """An open or closed element; tags, words and hidden also hold what its ancestors have."""
+
     tag: str
+    above: Element | None
+    depth: int
+    tags: frozenset[str]
     words: frozenset[str]
-    number: int
     hidden: bool
+    look: str | None
+    looks: dict[str, int]
 
 
 @dataclass(slots=True)
 class Block:
+    """A text block in its innermost element; None where it stands outside of all."""
+
     text: str
-    tags: tuple[str, ...]
-    words: frozenset[str]
-    path: tuple[int, ...]
+    inside: Element | None
     linked: int
-    hidden: bool
+
+    @property
+    def tag(self) -> str:
+        return self.inside.tag if self.inside else ""
+
+    @property
+    def tags(self) -> frozenset[str]:
+        return self.inside.tags if self.inside else frozenset()
+
+    @property
+    def words(self) -> frozenset[str]:
+        return self.inside.words if self.inside else frozenset()
+
+    @property
+    def hidden(self) -> bool:
+        return self.inside is not None and self.inside.hidden
+
+
+def steps(a: Element | None, b: Element | None, most: int) -> int:
+    """Steps in the tree from one element to the other, or most, if there are as many."""
+    n = 0
+    while a is not b and n < most:
+        if b is None or a is not None and a.depth >= b.depth:
+            a = a.above
+        else:
+            b = b.above
+        n += 1
+    return n
+
+
+def named_words(named: dict[str, str]) -> frozenset[str]:
+    """The telling words of an element's class, id and role."""
+    out: set[str] = set()
+    for name in " ".join(named.get(k, "") for k in ("class", "id", "role")).split():
+        words = set(PART.findall(CAMEL.sub(r"\1 \2", name).lower()))
+        out |= words - {"header"} if words & OWN else words
+    return frozenset(out & TELLING)
 
 
 def closed(page: str) -> dict[int, int]:
@@ -75,15 +127,17 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     found: list[Block] = []
     stack: list[Element] = []
+    opened: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
+    top: dict[str, int] = {}
     parts: list[str] = []
-    at, number, links, linked = 0, 0, 0, 0
+    at, links, linked = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, tuple(e.tag for e in stack), frozenset().union(*(e.words for e in stack)), tuple(e.number for e in stack), min(linked, len(text)), any(e.hidden for e in stack)))
+                found.append(Block(text, stack[-1] if stack else None, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -95,6 +149,13 @@ def blocks(page: str | None) -> list[Block]:
             if links:
                 linked += len(text)
 
+    def last(tags: frozenset[str] | set[str]) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+
+    def end(k: int) -> None:
+        while len(stack) > k:
+            opened[stack.pop().tag].pop()
+
     lower, ends = "", None
     while m := TAG.search(page, at):
         said(page[at : m.start()])
@@ -111,8 +172,8 @@ def blocks(page: str | None) -> list[Block]:
                 parts.append(" ")
             elif not closing and not attributes.endswith("/"):
                 lower = lower or page.lower()
-                end = lower.find(f"</{tag}", at) if len(lower) == len(page) else next((x.start() for x in re.compile(f"</{tag}", re.I).finditer(page, at)), -1)
-                at = len(page) if end < 0 else end
+                to = lower.find(f"</{tag}", at) if len(lower) == len(page) else next((x.start() for x in re.compile(f"</{tag}", re.I).finditer(page, at)), -1)
+                at = len(page) if to < 0 else to
                 parts.append(" ")
             continue
         if tag == "a":
@@ -127,27 +188,46 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), -1)
-            if k >= 0:
-                del stack[k:]
+            if opened.get(tag):
+                end(opened[tag][-1])
             continue
         if stack and stack[-1].tag == "p":
-            stack.pop()
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in CLOSES[tag]:
-                    del stack[k:]
-                    break
-                if stack[k].tag in KEPT:
-                    break
-        words, hidden = frozenset(), False
+            end(len(stack) - 1)
+        if tag in CLOSES and (k := last(CLOSES[tag])) > last(KEPT):
+            end(k)
+        words, hidden, look = frozenset(), False, ""
         if attributes:
-            named = {a.lower(): v.strip("\"'").lower() for a, v in NAMED.findall(attributes)}
+            named = {a.lower(): v.strip("\"'") for a, v in NAMED.findall(attributes)}
             if named:
-                words = frozenset(PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(named.get(k, "") for k in ("class", "id", "role")))))
-                hidden = "hidden" in named and "aria-hidden" not in named or "display:none" in named.get("style", "").replace(" ", "")
-        number += 1
-        stack.append(Element(tag, words, number, hidden))
+                words = named_words(named)
+                hidden = "hidden" in named and "aria-hidden" not in named or "display:none" in named.get("style", "").lower().replace(" ", "")
+                look = f"{tag} {named['class']}" if named.get("class") else ""
+        above = stack[-1] if stack else None
+        around = (above.tags, above.words, above.hidden) if above else (frozenset(), frozenset(), False)
+        tags = around[0] | {tag} if tag in TELLING_TAGS and tag not in around[0] else around[0]
+        if look:
+            looks = above.looks if above else top
+            looks[look] = looks.get(look, 0) + 1
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append(Element(tag, above, len(stack), tags, around[1] | words if not words <= around[1] else around[1], around[2] or hidden, look, {}))
     said(page[at:])
     flush()
+    for e in {id(b.inside): b.inside for b in found if b.inside}.values():
+        mark(e, top)
     return found
+
+
+def mark(e: Element, top: dict[str, int]) -> None:
+    """Puts REPEATED among the words of an element if it, or one around it, is one of several alike: of one tag and class
+    within one element. So are comments, cards and teasers, whatever they are called."""
+    path = []
+    while e is not None and e.look is not None:
+        path.append(e)
+        e = e.above
+    repeated = e is not None and REPEATED in e.words
+    for x in reversed(path):
+        looks = x.above.looks if x.above else top
+        repeated = repeated or bool(x.look) and looks[x.look] > 1
+        if repeated:
+            x.words = x.words | {REPEATED}
+        x.look = None  # done

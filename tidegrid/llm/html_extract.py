@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import over_batches
-from tidegrid.llm.html_blocks import ASIDE, COMMENTS, POOR, RICH, Block, blocks
+from tidegrid.llm.html_blocks import ASIDE, COMMENTS, POOR, REPEATED, RICH, Block, blocks, steps
 from tidegrid.llm.maxflow import minimum_cut
 from tidegrid.llm.words import texts
 
@@ -22,6 +22,8 @@ UNIT, MOST = 1000, 8.0
 NEXT, SIBLING = 0.6, 1.0
 #: Each step in the tree between two neighbours divides their smoothness.
 STEP = 1.6
+#: Blocks so many steps apart have no smoothness left.
+FAR = 20
 #: Generated pages that the block classifier is trained on.
 PAGES, PAGE_SEED = 400, 7
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -29,31 +31,33 @@ HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 def features(all_blocks: list[Block]) -> np.ndarray:
     """What the classifier sees of each block of a page: where it stands, how much of it is links, how it reads."""
-    out = np.zeros((len(all_blocks), 18))
+    out = np.zeros((len(all_blocks), 19))
     has_article = any("article" in b.tags or "main" in b.tags for b in all_blocks)
     longest = max((len(b.text) for b in all_blocks), default=1)
     for i, b in enumerate(all_blocks):
-        inner = "article" in b.tags
-        head = b.tags[-1] in HEADS if b.tags else False
+        tags, words, tag = b.tags, b.words, b.tag
+        inner = "article" in tags
+        lower = b.text.lower()
         out[i] = (
             1,
             inner,
-            "main" in b.tags,
-            has_article and not inner and "main" not in b.tags,
-            bool(ASIDE & set(b.tags)),
-            "header" in b.tags and not inner,
-            bool(POOR & b.words - (frozenset(("header", "body", "text")) if inner else frozenset())),
-            bool(RICH & b.words) and not POOR & b.words,
-            bool(COMMENTS & b.words),
+            "main" in tags,
+            has_article and not inner and "main" not in tags,
+            bool(ASIDE & tags),
+            "header" in tags and not inner,
+            bool(POOR & words - (frozenset(("header", "body", "text")) if inner else frozenset())),
+            bool(RICH & words) and not POOR & words,
+            bool(COMMENTS & words),
             b.hidden,
             b.linked / len(b.text),
             math.log1p(len(b.text)) / 5,
             len(b.text) / longest,
-            bool(b.tags) and b.tags[-1] == "p",
-            head,
-            bool(b.tags) and b.tags[-1] in ("li", "td", "dd"),
+            tag == "p",
+            tag in HEADS,
+            tag in ("li", "td", "dd"),
             sum(map(b.text.count, ".,;:!?")) / len(b.text) * 20,
-            b.text.startswith("©") or "copyright" in b.text[:80].lower(),
+            min(1.0, 40 * (lower.count("\u00a9") + lower.count("copyright")) / len(b.text)),
+            REPEATED in words,
         )
     return out
 
@@ -96,10 +100,17 @@ def page(rng: random.Random) -> str:
     side = boxed("aside", ("sidebar", "widget", "related"), f"<h3>{words(1, 3)}</h3>{rng.choice((links(), f'<p>{sentences(1, 3)}</p>'))}") if rng.random() < 0.5 else ""
     notice = f'<div class="{rng.choice(("cookie-banner", "cookie-notice", "notice", "consent", "newsletter"))}"><p>{sentences(1, 2)}</p></div>' if rng.random() < 0.4 else ""
     form = f"<form><label>{words(1, 3)}</label><input><p>{words(2, 8)}</p></form>" if rng.random() < 0.4 else ""
+    odd = lambda: "-".join("".join(rng.choice(("zu", "pem", "ral", "oki", "vex")) for _ in range(2)) for _ in range(rng.randint(1, 2)))
+    one, many = odd(), rng.randint(2, 5)
+    reader = lambda: rng.choice((f'<span>{words(1, 2)}</span><p>{sentences(1, 4)}</p>', f'<p>{sentences(1, 4)}</p>', f'<h4>{words(1, 2)}</h4><div>{sentences(1, 3)}</div>'))
+    unnamed = f'<div class="{odd()}">{"".join(f"<div class={chr(34)}{one}{chr(34)}>{reader()}</div>" for _ in range(many))}</div>' if rng.random() < 0.3 else ""
     comments = f'<{"section" if rng.random() < 0.5 else "div"} {rng.choice(("class", "id"))}="comments"><h3>{words(1, 3)}</h3>' + "".join(f'<div class="comment"><p>{sentences(1, 4)}</p></div>' for _ in range(rng.randint(1, 5))) + "</section></div>" if rng.random() < 0.5 else ""
     footer = boxed("footer", ("footer", "site-footer"), f"&copy; {words(1, 3)} &middot; {rng.choice((sentences(1, 2), links()))}")
     mark = "\ue000"
-    inside = f"<h1>{mark}{words(2, 10)}</h1>" + "".join(paragraph(mark) + (advert() if rng.random() < 0.15 else "") for _ in range(rng.randint(1, 9)))
+    head = f"<h1>{mark}{words(2, 10)}</h1>"
+    if rng.random() < 0.3:
+        head = f'<div class="{rng.choice(("post-header", "entry-header", "article-header", "title", odd()))}">{head}{f"<h2>{mark}{words(3, 9)}</h2>" if rng.random() < 0.3 else ""}</div>'
+    inside = head + "".join(paragraph(mark) + (advert() if rng.random() < 0.15 else "") for _ in range(rng.randint(1, 9)))
     if rng.random() < 0.15:
         inside += side + form
     if rng.random() < 0.2:
@@ -114,7 +125,7 @@ def page(rng: random.Random) -> str:
         body = f'<div class="{rng.choice(("content", "post", "entry-content", "article-body", "story"))}">{inside}</div>'
     else:
         body = f"<div>{inside}</div>"
-    parts = [header, menu, notice, advert(), body, advert(), side, form, comments, footer]
+    parts = [header, menu, notice, advert(), body, advert(), side, form, comments, unnamed, footer]
     if rng.random() < 0.3:
         parts[0], parts[1] = parts[1], parts[0]
     return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{''.join(parts)}</body></html>"
@@ -152,13 +163,12 @@ def labelled(found: list[Block], weights: tuple[float, ...]) -> list[bool]:
     edges, last = [], {}
     for j, b in enumerate(found):
         if j:
-            a = found[j - 1].path
-            shared = next((k for k, (x, y) in enumerate(zip(a, b.path, strict=False)) if x != y), min(len(a), len(b.path)))
-            edges.append((j - 1, j, int(UNIT * NEXT / STEP ** (len(a) + len(b.path) - 2 * shared))))
-        around = b.path[:-1]
-        if around and around in last:
-            edges.append((last[around], j, int(UNIT * SIBLING / STEP)))
-        last[around] = j
+            edges.append((j - 1, j, int(UNIT * NEXT / STEP ** steps(found[j - 1].inside, b.inside, FAR))))
+        around = b.inside.above if b.inside else None
+        if around is not None:
+            if id(around) in last:
+                edges.append((last[id(around)], j, int(UNIT * SIBLING / STEP)))
+            last[id(around)] = j
     return minimum_cut((UNIT * rest).astype(int).tolist(), (UNIT * content).astype(int).tolist(), edges)
 
 
