@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -65,3 +66,39 @@ def test_nameless_rows(spark, one_of_each):
     kept = [(r.doc_id, r.text) for r in one_of_each(docs).collect()]
     assert sorted(kept, key=str)[:2] == [(5, "x y z"), (7, "")] and len(kept) == 3
     assert kept[[i for i, _ in kept].index(None)][1].lower().split() == ["quite", "another", "text"]
+
+
+@pytest.mark.parametrize("block", [near_copies.BLOCK, 7])
+def test_no_link_of_a_loose_group_is_lost(spark, monkeypatch, block):
+    """Texts around one base, most less alike than 0.8 to most others: what bands put together is compared whole."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(160):
+        other = list(words)
+        for at in rng.sample(range(120), rng.randint(1, 5)):
+            other[at] = f"x{rng.randrange(400)}"
+        texts.append(" ".join(other))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == sorted(set(brute_groups(texts)))
+
+
+def test_links_across_roots():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 3_000, dtype=np.uint64)
+    found = [np.unique(np.concatenate((base[rng.random(3_000) < 0.93], rng.integers(0, 1 << 60, 90, dtype=np.uint64)))) for _ in range(40)]
+    roots = rng.integers(0, 9, 40)
+    for sides in (np.zeros(40, int), rng.integers(0, 2, 40)):
+        low = roots.tolist()
+        pairs = [(i, j) for i in range(40) for j in range(i) if (not sides.any() or sides[i] != sides[j]) and near_copies.jaccard(found[i], found[j]) >= 0.8]
+        got = near_copies.across(found, roots, sides, 0.8)
+        assert {(max(p), min(p)) for p in got} <= set(pairs)
+        assert joined(low, pairs) == joined(low, got)
+
+
+def joined(labels, pairs):
+    out = list(labels)
+    for a, b in pairs:
+        out = [out[a] if x == out[b] else x for x in out]
+    return [out.index(x) for x in out]

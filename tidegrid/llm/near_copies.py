@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tidegrid.llm.common import dropped, over_batches, written
+from tidegrid.llm.common import dropped, over_batches, parallelism, written
 from tidegrid.llm.components import connected_components, first_of_each
 from tidegrid.llm.simhash import SEED, ball_links, hashes, majority
 from tidegrid.llm.words import texts
@@ -23,8 +23,10 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, MINIMA = 25, 5
 #: Buckets that at least one in so many entries are in meet their members by broadcast: there are at most as many such.
 HEAVY = 512
-#: Members that all others of a bucket meet in the first round of crossings(), and how much this grows from round to round.
-CENTRES, GROWTH = 8, 8
+#: Pairs that are compared first between the same two components.
+CENTRES = 8
+#: Sets and bytes of a block of crossings(), about; shingles that are counted at once.
+BLOCK, BLOCK_BYTES, WIDTH = 1024, 4 << 20, 2048
 #: Shingles whose minima are taken at once.
 PART = 4096
 #: Odd factors, one for each minimum.
@@ -59,38 +61,49 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _named(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """docs with the node of every row's shingle set (_node), its fingerprint (_fp), its bands and a hash of the row (_mark)."""
+    """docs with the node of every row's shingle set (_node), its fingerprint (_fp), its bands and a hash of the row (_mark).
+
+    Only the first of a task's rows with a node carries bands, so copies don't pass on the same ones again and again.
+    """
     at = docs.columns.index(text_col)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, prints, longs = [], [], []
-        for t in texts(batch.column(at)):
-            all_of = hashes(t, shingle)
-            found = np.unique(all_of)
-            nodes.append(node_of(found))
-            prints.append(majority(all_of))
-            longs.append(bands(found) if len(found) else [])
-        own = [pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(longs, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "_node", "_fp", "_bands"])
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            nodes, prints, longs = [], [], []
+            for t in texts(batch.column(at)):
+                all_of = hashes(t, shingle)
+                found = np.unique(all_of)
+                nodes.append(node_of(found))
+                prints.append(majority(all_of))
+                longs.append(bands(found) if len(found) and nodes[-1] not in seen else [])
+                seen.add(nodes[-1])
+            own = [pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(longs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, "_node", "_fp", "_bands"])
 
     schema = StructType([*docs.schema.fields, StructField("_node", LongType()), StructField("_fp", LongType()), StructField("_bands", ArrayType(LongType()))])
-    return docs.mapInArrow(over_batches(run), schema).withColumn("_mark", F.xxhash64(*docs.columns))
-
+    return docs.mapInArrow(run, schema).withColumn("_mark", F.xxhash64(*docs.columns))
 
-def pairs(entries: DataFrame) -> DataFrame:
-    """(a, b), distinct: candidates among entries (bucket, node).
 
-    Every member of a bucket meets two of them, the lowest and the highest in an order of the bucket's own, so a bucket of
-    up to three is compared whole and a large one costs two pairs a member; crossings() has what is left of those.
-    """
+def shared(entries: DataFrame) -> DataFrame:
+    """(bucket, node, low, high, n) of the entries (bucket, node) whose bucket has n members, two or more; low and high are
+    the first and last of them in an order of the bucket's own."""
     order = F.struct(F.xxhash64("bucket", "node").alias("o"), F.col("node"))
     met = entries.groupBy("bucket").agg(F.min(order)["node"].alias("low"), F.max(order)["node"].alias("high"), F.count(F.lit(1)).alias("n")).where("n >= 2")
     met = written(met, "buckets")
     least = entries.count() / HEAVY
     heavy = F.broadcast(met.where(F.col("n") > least))  # under HEAVY rows, whatever the input
-    joined = entries.join(heavy, "bucket").unionByName(entries.join(met.where(F.col("n") <= least), "bucket"))
-    ends = joined.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("other")).where("node <> other")
-    return ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    return entries.join(heavy, "bucket").unionByName(entries.join(met.where(F.col("n") <= least), "bucket"))
+
+
+def pairs(members: DataFrame) -> DataFrame:
+    """(a, b): candidates among members of shared().
+
+    Every member of a bucket meets two of them, the lowest and the highest, so a bucket of up to three is compared whole and
+    a large one costs two pairs a member; crossings() has what is left of those.
+    """
+    ends = members.select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("other")).where("node <> other")
+    return ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
 def close_prints(prints: DataFrame) -> DataFrame:
@@ -116,34 +129,96 @@ def verified(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return candidates.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(over_batches(check), "a long, b long")
 
 
-def crossings(entries: DataFrame, roots: DataFrame, centres: int) -> tuple[DataFrame, int]:
-    """(a, b): pairs of one bucket's members in different components, of which one is among about so many centres of the
-    bucket; and the size of the largest bucket with more than one component.
-
-    Buckets of up to three were compared whole. Of the others those count whose members aren't all in one component yet,
-    so a large group of near copies, once joined, costs nothing here. With as many centres as members all pairs are met.
+def apart(candidates: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b): candidates whose ends are in different components yet, for each two components up to `most` of them."""
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}"))
+        candidates = candidates.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    rows = candidates.where("root_a <> root_b").select("a", "b", F.least("root_a", "root_b").alias("x"), F.greatest("root_a", "root_b").alias("y"))
+    if most is not None:
+        rows = rows.withColumn("place", F.expr("row_number() over (partition by x, y order by xxhash64(a, b), a, b)")).where(F.col("place") <= most)
+    return rows.select("a", "b")
+
+
+def across(found: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Positions of similar sets, enough to join all that have the least similarity: pairs of a cell's two sides (0 and 1),
+    of all sets where it has one side only, and never of sets that have one root already."""
+    sizes = np.array([len(x) for x in found])
+    _, at, many = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(many[at] > 1)  # what one set has alone no two have in common
+    column = np.full(len(many), -1)
+    column[many > 1] = np.arange((many > 1).sum())
+    row, column = np.repeat(np.arange(len(found)), sizes)[kept], column[at[kept]]
+    both = np.zeros((len(found), len(found)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+        i, j = np.searchsorted(column, (a, a + WIDTH))
+        part = np.zeros((len(found), WIDTH), np.float32)
+        part[row[i:j], column[i:j] - a] = 1
+        both += part @ part.T
+    good = both >= least * (sizes[:, None] + sizes[None, :] - both)
+    if sides.any():
+        good &= sides[:, None] != sides[None, :]
+    labels, out = roots.copy(), []
+    for i in range(len(found)):
+        mates = np.flatnonzero(good[i] & (labels != labels[i]))
+        for label in np.unique(labels[mates]).tolist():
+            out.append((i, int(mates[labels[mates] == label][0])))
+        labels[np.isin(labels, labels[mates])] = labels[i]
+    return out
+
+
+def crossings(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links of the least similarity between members (bucket, node) of one bucket that are in different components,
+    enough to join all that have it.
+
+    Buckets whose members are all in one component, as a large group of near copies mostly is by now, cost nothing. In the
+    others all sets meet, in cells of two blocks of at most about BLOCK sets or BLOCK_BYTES: a cell counts what its sets
+    share and passes on only links that join something, never its pairs.
     """
-    of = entries.join(roots.withColumnRenamed("component", "root"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = of.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 3 and low <> high").select("bucket", "n")
-    mixed = written(mixed, "mixed")
-    largest = mixed.agg(F.max("n")).first()[0] or 0
-    if not largest:
-        return mixed.selectExpr("n as a", "n as b").limit(0), 0
-    # of() is the cheaper side to make again: an entry's place in the bucket's own order stands for a random number
-    share = F.pmod(F.xxhash64("bucket", "node", F.lit(1)), F.lit(1 << 40)) / (1 << 40)
-    met = of.join(mixed, "bucket").select("bucket", "node", "root", (share * F.col("n") <= centres).alias("centre"))
-    met = written(met, "met")
-    meets = met.where("centre").select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    crossed = met.join(meets, "bucket").where("root <> other_root")
-    return crossed.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), largest
+    of = written(members.join(roots.withColumnRenamed("component", "root"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "of")
+    mixed = of.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    met = written(of.join(mixed, "bucket").join(sets, "node"), "met")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("found")) / BLOCK_BYTES)).cast("int")
+    dealt = met.join(met.groupBy("bucket").agg(blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("bucket", "node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root", "found")
+    cells = cells.repartition(4 * parallelism(sets.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+    def compared(batches):
+        cell, held = None, []
+
+        def told():
+            node, root, side = (np.array(x) for x in zip(*((n, r, s) for n, r, s, _ in held), strict=True))
+            for i, j in across([f for *_, f in held], root, side, least) if len(held) > 1 else ():
+                yield min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))
+
+        def batch_of(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            side, node, root = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            for k, raw in enumerate(texts(batch.column(6))):
+                if keys[k] != cell:
+                    if held and (pairs := list(told())):
+                        yield batch_of(pairs)
+                    cell, held = keys[k], []
+                held.append((node[k], root[k], side[k], np.frombuffer(raw, "<u8")))
+        if held and (pairs := list(told())):
+            yield batch_of(pairs)
+
+    return cells.mapInArrow(compared, "a long, b long").distinct()
 
 
 def links(rows: DataFrame, text_col: str, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """(node, component) of the links between different shingle sets of the least similarity, for rows of _named().
 
     Pairs are proposed by fingerprints and bands, then verified on their whole sets: first each node with one partner; of
-    the others only pairs that those links don't yet join, so a large group of near copies costs few comparisons of sets.
-    Buckets that still hold several components then meet ever more centres, in the end all members of different components.
+    the others only pairs that those links don't yet join, few between the same two components first, so a large group of
+    near copies costs few comparisons of sets. In buckets of over three members that still hold several components all
+    members of different ones are then compared.
     """
 
     def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -151,30 +226,34 @@ def links(rows: DataFrame, text_col: str, shingle: int = SHINGLE, least: float =
 
     some = rows.where("_node <> 0").select(F.col("_node").alias("node"), F.col("_fp").alias("fp"), F.col("_bands").alias("bands"), F.col("_mark").alias("mark"))
     entries = written(some.select("node", F.explode("bands").alias("bucket")).distinct(), "entries")
-    prints = some.groupBy("node").agg(F.min("fp").alias("fp"))  # sets of equal hashes may differ in repeats, so in the print
-    proposed = written(pairs(entries).union(close_prints(written(prints, "prints"))).distinct(), "pairs")
+    members = written(shared(entries), "members")
+    dropped(entries)
+    prints = written(some.groupBy("node").agg(F.min("fp").alias("fp")), "prints")  # sets of equal hashes may differ in repeats, so in the print
+    proposed = written(pairs(members).union(close_prints(prints)).distinct(), "pairs")
     nodes = proposed.select(F.col("a").alias("node")).union(proposed.select("b")).distinct()
     marks = some.groupBy("node").agg(F.min("mark").alias("_mark")).join(nodes, "node", "left_semi").select("_mark")
     chosen = rows.join(marks, "_mark", "left_semi").dropDuplicates(["_mark"]).select(F.col("_node").alias("node"), F.col(text_col).alias("text"))
     sets = written(chosen.mapInArrow(over_batches(packed), "node long, found binary"), "sets")
-    first = proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    stars = written(verified(first, sets, least), "stars")
-    hub = stars.select(F.col("b").alias("node"), F.col("a").alias("hub"))
-    rest = proposed.join(hub.select(F.col("node").alias("b"), F.col("hub").alias("hub_b")), "b", "left").join(hub.select(F.col("node").alias("a"), F.col("hub").alias("hub_a")), "a", "left")
-    rest = rest.join(first, ["a", "b"], "left_anti").where("not coalesce(hub_a = hub_b, false) and not coalesce(hub_b = a, false)").select("a", "b")
-    found = written(stars.unionByName(verified(rest, sets, least)), "links_found")
+    found = written(verified(proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, least), "links_found")
     roots = written(connected_components(found), "roots")
-    centres = CENTRES
-    while True:
-        crossed, largest = crossings(entries, roots, centres)
-        more = written(verified(crossed, sets, least), "links_found") if largest else None
-        if more is not None and not more.isEmpty():
-            found = written(found.unionByName(more), "links_found")
-            roots = written(connected_components(found), "roots")
-        if largest <= centres:
-            dropped(entries, proposed, sets, stars)
-            return roots
-        centres *= GROWTH
+    tried = proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+    def joined(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+        more = written(verified(candidates, sets, least), "links_found")
+        if more.isEmpty():
+            return found, roots
+        both = written(found.unionByName(more), "links_found")
+        return both, written(connected_components(both), "roots")
+
+    for most in (CENTRES, None):
+        chosen = written(apart(proposed.join(tried, ["a", "b"], "left_anti"), roots, most), "apart")
+        tried = tried.unionByName(chosen)
+        found, roots = joined(chosen)
+    more = written(crossings(members.where("n > 3").select("bucket", "node"), roots, sets, least), "links_found")
+    if not more.isEmpty():
+        roots = written(connected_components(found.unionByName(more)), "roots")
+    dropped(proposed, sets, prints, found)
+    return roots
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
