@@ -17,15 +17,21 @@ from tidegrid.llm.words import texts
 
 WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 CLASSES = ("none", "unknown", *TEMPLATES)
+#: Templates of a single word: short names of licences.
+NAMES = frozenset(t.lower() for v in TEMPLATES.values() for t in v if " " not in t)
 GRAMS = 3
 #: Invented examples of each class, and the share of them that calibrates instead of training.
 EXAMPLES, CALIBRATING = 220, 0.25
 #: Share of wrong answers among confident ones that the calibration aims at.
 ERROR = 0.01
-#: Words of a paragraph that are judged together.
+#: Words of a paragraph that are judged together, and up to which notices of one family in a paragraph are one.
 REACH = 64
+#: Paragraphs are parted by blank lines.
+BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 #: What stands beside a notice is judged by itself from so many words on.
 LEAST_WORDS = 4
+#: Words right before or after a named licence that may be part of its notice.
+BESIDE = 12
 #: Shared word trigrams, of the shorter side, that confirm a family.
 CONFIRMED = 0.6
 
@@ -88,10 +94,10 @@ class Model:
     def __init__(self, index: dict[str, int], weights: np.ndarray, bias: np.ndarray, warmth: float, least: float):
         self.index, self.weights, self.bias, self.warmth, self.least = index, weights, bias, warmth, least
         self.known = {w for g in index for w in g.split()}
-        self.paired = np.array([" " in g for g in sorted(index, key=index.get)], bool)
+        self.paired = np.array([" " in g or g in NAMES for g in sorted(index, key=index.get)], bool)
 
     def logits(self, words: list[str]) -> np.ndarray | None:
-        """None without a known pair of words: single words tell nothing."""
+        """None without a known pair of words or a licence's short name: other single words tell nothing."""
         at = [self.index[g] for g in grams(words, self.known) if g in self.index]
         if not at or not self.paired[at].any():
             return None
@@ -219,7 +225,13 @@ def notices(words: list[str], model: Model) -> list[tuple[int, int, str, float,
     merged: list[tuple[int, int, str, float, float]] = []
     for begin, end, family, p, alike in sorted(out):
         last = merged[-1] if merged else None
-        if last and last[2] == family and begin - last[1] < LEAST_WORDS:
+        near = last and begin - last[1] < LEAST_WORDS
+        # what stands before or after a named licence is part of its notice, if both together still read as that licence
+        short = near and "unknown" in (last[2], family) and (last[1] - last[0] if last[2] == "unknown" else end - begin) <= BESIDE
+        if short and last[2] != family and model.label(words[last[0] : end])[0] == max(last, (begin, end, family, p, alike), key=lambda x: x[4])[2]:
+            family = last[2] if family == "unknown" else family
+            last = (*last[:2], family, *last[3:])
+        if near and last[2] == family:
             kept = max((last[4], last[3]), (alike, p))
             merged[-1] = (last[0], end, family, kept[1], kept[0])
         else:
@@ -227,19 +239,60 @@ def notices(words: list[str], model: Model) -> list[tuple[int, int, str, float,
     return merged
 
 
+def paragraph_notices(paragraph: str, model: Model) -> list[tuple[int, int, str, float, float]]:
+    """notices() of a paragraph, whose lines may be parts of one sentence or stand for themselves.
+
+    What the whole has in common with a template, over line ends, is taken first; what is left is judged line by line.
+    Notices of one family with no other between them and less than REACH words apart are one.
+    """
+    lines = [words_of(x) for x in paragraph.split("\n")]
+    words = [w for x in lines for w in x]
+    if len(lines) == 1:
+        found = notices(words, model)
+    else:
+        found = [x for x in notices(words, model) if x[4] >= CONFIRMED]
+        taken = np.zeros(len(words) + 1, bool)
+        for begin, end, *_ in found:
+            taken[begin:end] = True
+        at = 0
+        for line in lines:
+            begin = at
+            while begin < at + len(line):
+                if taken[begin]:
+                    begin += 1
+                    continue
+                end = begin
+                while end < at + len(line) and not taken[end]:
+                    end += 1
+                if end - begin == len(line) or end - begin >= LEAST_WORDS:
+                    found += [(begin + a, begin + b, *rest) for a, b, *rest in notices(words[begin:end], model)]
+                begin = end
+            at += len(line)
+    merged: list[tuple[int, int, str, float, float]] = []
+    for begin, end, family, p, alike in sorted(found):
+        last = merged[-1] if merged else None
+        if last and last[2] == family and begin - last[1] < REACH:
+            kept = max((last[4], last[3]), (alike, p))
+            merged[-1] = (last[0], max(end, last[1]), family, kept[1], kept[0])
+        else:
+            merged.append((begin, end, family, p, alike))
+    return merged
+
+
 def findings(text: str | None, model: Model) -> list[tuple[int, str, float, float, bool]]:
     """(paragraph, family, probability, likeness, confirmed) of every licence notice of a text's paragraphs, in order."""
-    return [(i, family, p, alike, alike >= CONFIRMED) for i, paragraph in enumerate((text or "").split("\n")) for _, _, family, p, alike in notices(words_of(paragraph), model)]
+    return [(i, family, p, alike, alike >= CONFIRMED) for i, paragraph in enumerate(BLANK.split(text or "")) for _, _, family, p, alike in paragraph_notices(paragraph, model)]
 
 
 FOUND = "array<struct<paragraph: int, family: string, probability: double, likeness: double, confirmed: boolean>>"
 
 
 def scanned(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_paragraphs, found): for every row its licence notices, by paragraph (line) from 0.
+    """(doc_id, n_paragraphs, found): for every row its licence notices, by paragraph from 0; blank lines part paragraphs.
 
-    A null or empty text has no notices; one without line breaks is a single paragraph, however long. Rows that repeat or
-    have a null id are scanned like others.
+    A null or empty text has no notices and no paragraphs; one without blank lines is a single paragraph, read whole however
+    long. Rows that repeat or have a null id are scanned like others, other columns are not looked at. An empty table gives
+    no rows.
     """
     model = model or trained()
     kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64()), ("confirmed", pa.bool_())]))
@@ -247,8 +300,8 @@ def scanned(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id",
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [[dict(zip(names, x, strict=True)) for x in findings(t, model)] for t in texts(batch.column(1))]
-        lines = [0 if not t else t.count("\n") + 1 for t in texts(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.int64()), pa.array(found, kind)], names=["doc_id", "n_paragraphs", "found"])
+        many = [0 if not t else len(BLANK.split(t)) for t in texts(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(many, pa.int64()), pa.array(found, kind)], names=["doc_id", "n_paragraphs", "found"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(over_batches(read), f"doc_id long, n_paragraphs long, found {FOUND}")
