@@ -87,9 +87,9 @@ def brute_nearest(rows, every, k):
     return out
 
 
-@pytest.mark.parametrize(("queries", "candidates", "block"), [(exact_topk.QUERIES, exact_topk.CANDIDATES, exact_topk.BLOCK), (2, 30, 7)])
-def test_exact_topk(spark, monkeypatch, queries, candidates, block):
-    for name, n in (("QUERIES", queries), ("CANDIDATES", candidates), ("BLOCK", block)):
+@pytest.mark.parametrize(("queries", "candidates", "block", "merged"), [(exact_topk.QUERIES, exact_topk.CANDIDATES, exact_topk.BLOCK, exact_topk.MERGED), (2, 30, 7, 64), (3, 10, 7, 4)])
+def test_exact_topk(spark, monkeypatch, queries, candidates, block, merged):
+    for name, n in (("QUERIES", queries), ("CANDIDATES", candidates), ("BLOCK", block), ("MERGED", merged)):
         monkeypatch.setattr(exact_topk, name, n)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 4]) for i in range(200)]
@@ -103,3 +103,17 @@ def test_few_candidates(spark):
     table = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in exact_topk.nearest(table).collect()] == [(0, 1, 1, 2048 * 1024)]
     assert exact_topk.nearest(table.limit(0)).count() == 0
+
+
+def test_repeated_queries_as_the_sql(spark, tmp_path):
+    import duckdb
+
+    from tidegrid.llm import queries
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 4]) for i in (*range(150), 100, 100, 7)] + [(None, [1.0] * 6), (200, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = db.sql(f"select query_id, rank, vec_id, score from ({queries.ORACLE_SQL['op4_exact_topk']})").fetchall()
+    assert sorted(map(tuple, exact_topk.nearest(spark.read.parquet(f"{tmp_path}/embeddings.parquet")).collect())) == sorted(want)

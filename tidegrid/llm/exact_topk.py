@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 QUERIES = 4096
 CANDIDATES = 8192
 BLOCK = 4096
+#: Candidate parts whose best are merged at once.
+MERGED = 64
 
 
 def quantised(vector: Column, scale: int = 1024) -> Column:
@@ -72,15 +74,15 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "v
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     spread = asked.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(q_parts)).cast("int").alias("q"), each(c_parts).alias("c"), F.lit(True).alias("asks"), "id", "w")
     dealt = rows.select(each(q_parts).alias("q"), F.pmod(F.xxhash64("id", "w"), F.lit(c_parts)).cast("int").alias("c"), F.lit(False).alias("asks"), "id", "w")
-    met = spread.union(dealt).repartition(q_parts * c_parts, "q", "c").sortWithinPartitions("q", "c", F.desc("asks"), "id")
+    met = spread.union(dealt).repartitionById(q_parts * c_parts, F.col("q") * c_parts + F.col("c")).sortWithinPartitions("q", "c", F.desc("asks"), "id")  # a task each
 
     def scored(batches):
         pair, q_ids, q_terms, found = None, [], [], {}
 
         def told():
-            out = [(q, *x) for q, (ids, scores) in found.items() for x in zip(ids.tolist(), scores.tolist(), strict=True)]
+            out = [(q, *x, pair[1] // MERGED) for q, (ids, scores) in found.items() for x in zip(ids.tolist(), scores.tolist(), strict=True)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score", "part"])
 
         def block(ids, own):
             lists = postings(own)
@@ -116,7 +118,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "v
                         block(ids[a + i : min(a + i + BLOCK, b)], own[i : i + BLOCK])
         yield from told()
 
-    near = met.mapInArrow(scored, "query_id long, vec_id long, score long")
+    near = met.mapInArrow(scored, "query_id long, vec_id long, score long, part long")
+    if c_parts > MERGED:  # else a query's best of many parts would all meet in one window
+        near = near.withColumn("rank", F.expr("row_number() over (partition by query_id, part order by score desc, vec_id)")).where(F.col("rank") <= k)
     ranked = near.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -67,9 +67,10 @@ ORACLE_SQL: dict[str, str] = {
             select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as w from embeddings
             where vec_id is not null and embedding is not null
               and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        a as (select vec_id, min(w) as w from v where vec_id % 100 = 0 group by vec_id),
         s as (
             select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) as bigint) as score
-            from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+            from a q join v c on q.vec_id <> c.vec_id),
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 10
     """,
