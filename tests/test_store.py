@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidegrid.errors import InvalidFields, InvalidParams, InvalidTime
+from tidegrid.errors import InvalidFields, InvalidParams, InvalidTime, ReadOnly
 from tidegrid.operators import rollup
 from tidegrid.params import Params
 from tidegrid.sources.store import MetricStore, load_all
@@ -83,3 +83,63 @@ def test_stream(spark, tmp_path):
     own = sorted(map(str, rollup.rollup(rows, P0).select("epoch", "fields", "bucket", "total", "count").collect()))
     assert sorted(map(str, rollup.summed(store.cells()).collect())) == own
     store.close()
+
+
+def test_replay_after_compaction(spark, tmp_path):
+    store = MetricStore.open(spark, f"file://{tmp_path}/db", P0)
+    rows = spark.createDataFrame([(0, ["a"], 1.0, 1.0), (D, ["a"], 1.0, 1.0)], SCHEMA)
+    for name in ("s-1", "s-2", "s-x-1"):
+        store.write_batch(rows, name)
+    assert store.compact([0])
+    for _ in range(2):
+        store.write_batch(rows, "s-2")
+        store.write_batch(rows, "s-x-1")
+        assert points(store.fetch(0, D + R, ["a"]).where("total > 0")) == [(0, "a", 0, 3.0, 3.0), (D, "a", 0, 3.0, 3.0)]
+        store.vacuum()
+    assert store.files.folders(f"{store.path}/cells/epoch=0")[0].startswith("batch=c-") and len(store.files.folders(f"{store.path}/cells/epoch=0")) == 1
+    store.write_batch(rows, "s-3")
+    assert store.compact() and store.compact() is None
+    for name in ("s-3", "s-x-1"):
+        store.write_batch(rows, name)
+    assert points(store.fetch(0, D + R, ["a"]).where("total > 0")) == [(0, "a", 0, 4.0, 4.0), (D, "a", 0, 4.0, 4.0)]
+
+
+def test_readers_outlive_a_compaction(spark, tmp_path):
+    store = MetricStore.open(spark, f"file://{tmp_path}/db", P0)
+    rows = spark.createDataFrame([(0, ["a"], 1.0, 1.0)], SCHEMA)
+    store.track(rows)
+    store.track(rows)
+    before = store.fetch(0, R, ["a"])
+    before.explain()  # planned, files listed
+    store.compact()
+    assert points(before) == [(0, "a", 0, 2.0, 2.0)]
+
+
+def test_two_streams_and_a_new_checkpoint(spark, tmp_path):
+    store = MetricStore.open(spark, f"file://{tmp_path}/db", P0)
+    for k in range(3):
+        spark.createDataFrame([(0, ["a"], 1.0, 1.0)], SCHEMA).write.parquet(f"{tmp_path}/in{k}")
+        track_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in{k}"), store, f"{tmp_path}/checkpoint{k}", once=True).awaitTermination()
+    assert points(store.fetch(0, R, ["a"])) == [(0, "a", 0, 3.0, 3.0)]
+
+
+def test_read_only_and_delivery(spark, tmp_path):
+    store = MetricStore.open(spark, f"file://{tmp_path}/db", P0)
+    rows = spark.createDataFrame([(0, ["a", "b"], 1.0, 1.0), (2 * D + R, ["a", "c"], 2.0, 1.0)], SCHEMA)
+    store.track(rows)
+    reader = load_all(spark, f"file://{tmp_path}", read_only=True)["db"]
+    for write in (lambda: reader.track(rows), lambda: reader.write_batch(rows, "s-1"), lambda: reader.expire(D), reader.compact, reader.vacuum):
+        with pytest.raises(ReadOnly):
+            write()
+    got = []
+    reader.deliver(0, 2 * D + 2 * R, ["a", "*"], lambda lo, hi, series: got.append((lo, hi, [("/".join(f), [(p.total, p["count"]) for p in x][:2]) for f, x in series])))
+    assert got == [(0, D, [("a/b", [(1.0, 1.0), (0.0, 0.0)])]), (D, 2 * D, []), (2 * D, 2 * D + 2 * R, [("a/c", [(0.0, 0.0), (2.0, 1.0)])])]
+    assert points(reader.fetch(0, R, ["a", "*"])) == [(0, "a/b", 0, 1.0, 1.0)]
+
+
+def test_files_are_replaced_whole(spark, tmp_path):
+    store = MetricStore.open(spark, f"file://{tmp_path}/db", P0)
+    for text in ("one", "two"):
+        store.files.write(f"{store.path}/x/y", text)
+        assert store.files.read(f"{store.path}/x/y") == text
+    assert store.files.files(f"{store.path}/x") in (["y"], [".y.crc", "y"])

@@ -11,3 +11,7 @@ class InvalidTime(ValueError):
 
 class InvalidFields(ValueError):
     """A field path or pattern that is empty or has an empty element (or, in a measurement, a wildcard)."""
+
+
+class ReadOnly(Exception):
+    """A store that was opened for reading only can't be written to."""

@@ -42,16 +42,19 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """Puts a whole file in place by renaming, so that no reader sees half of it."""
-        system, at = self._at(f"{path}.{uuid.uuid4().hex}")
+        """Puts a whole file in place by one renaming over what is there, so a reader sees the old or the new one."""
+        own = f"{path}.{uuid.uuid4().hex}"
+        system, at = self._at(own)
         stream = system.create(at, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        system.delete(self.jvm.org.apache.hadoop.fs.Path(path), False)
-        if not system.rename(at, self.jvm.org.apache.hadoop.fs.Path(path)):
-            raise OSError(f"{path} can't be written")
+        fs = self.jvm.org.apache.hadoop.fs
+        kind = getattr(fs, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration()).rename(at, fs.Path(path), over)
 
     def delete(self, path: str) -> None:
         system, at = self._at(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,17 +13,24 @@ from tidegrid.params import Params
 from tidegrid.sources.store import MetricStore
 
 
-def track_stream(events: DataFrame, store: MetricStore, checkpoint: str, name: str = "events", once: bool = False, interval: str | None = None, drop_invalid: bool = False) -> StreamingQuery:
+def track_stream(events: DataFrame, store: MetricStore, checkpoint: str, name: str | None = None, once: bool = False, interval: str | None = None, drop_invalid: bool = False) -> StreamingQuery:
     """Tracks a stream of (ts_ns, fields, total, count) into a store.
 
-    Every micro-batch is written as a batch of its own, named by the stream and its number: a repeated micro-batch replaces
-    itself. There is no watermark, so rows count however late they come. once: reads what is there and ends.
+    Every micro-batch is written as a batch of its own, named by the query's id, which its checkpoint keeps, and its number:
+    a repeated micro-batch replaces itself, or what of it a compaction has not taken in yet, and streams never replace each
+    other's. There is no watermark, so rows count however late they come. name: what the query is called while it runs.
+    once: reads what is there and ends.
     """
+    known: list[str] = []
 
     def write(rows: DataFrame, number: int) -> None:
-        store.write_batch(measurements(rows, drop_invalid), f"s-{name}-{number:012d}")
+        if not known:
+            known.append(json.loads(store.files.read(f"{checkpoint.rstrip('/')}/metadata"))["id"])
+        store.write_batch(measurements(rows, drop_invalid), f"s-{known[0]}-{number:012d}")
 
-    writer = events.writeStream.queryName(f"track-{name}").option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    if name:
+        writer = writer.queryName(f"track-{name}")
     if once:
         writer = writer.trigger(availableNow=True)
     elif interval:
