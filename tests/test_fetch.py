@@ -131,3 +131,30 @@ def test_properties(spark, rows, pattern, a, b, c):
     assert all(v == [0, 0] for k, v in got.items() if k not in want)
     top = rollup.rollup_at(table(spark, rows), P0, ["*"]).agg(F.sum("total")).first()[0] or 0
     assert top == sum(t for _, f, t, _ in rows if f)
+
+
+def test_time_bounds_reach_the_scan(spark):
+    import contextlib
+    import io
+
+    from tidegrid.plans import adapters, catalog
+
+    def filters(df):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain("formatted")
+        return [x for x in out.getvalue().split("\n") if "PushedFilters" in x][0]
+
+    sf = "/root/testdata/sf0.001"
+    for name, column in (("fetch_exact", "ts"), ("fetch_lineitem", "l_shipdate"), ("fetch_region", "l_shipdate"), ("fetch_orders_month", "o_orderdate"), ("chunk_bounds", "ts"), ("chunks_flat", "ts")):
+        read = filters(catalog.QUERIES[name](spark, sf))
+        assert f"GreaterThanOrEqual({column}," in read and f"LessThan({column}," in read, (name, read)
+    assert adapters.e1(spark, sf, ns_range(R, R, P0)).count() == 0
+
+
+def test_stored_nanoseconds_reach_the_scan(spark, tmp_path):
+    table(spark, [(i * D, ["a"], 1.0, 1.0) for i in range(5)]).write.parquet(f"{tmp_path}/events")
+    span = ns_range(D, 2 * D, P0)
+    cells = rollup.rollup_at(spark.read.parquet(f"{tmp_path}/events"), P0, ["a"], span)
+    assert [r.epoch for r in cells.collect()] == [D]
+    assert f"GreaterThanOrEqual(ts_ns,{D})" in cells._jdf.queryExecution().executedPlan().toString()

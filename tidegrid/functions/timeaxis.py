@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from tidegrid.errors import InvalidTime
 from tidegrid.params import Params
 
 LAST = 1 << 63
+#: Microseconds of the last day that a Python datetime holds, about.
+LAST_US = 253_402_214_400 * 10**6
 
 
 @dataclass(frozen=True)
@@ -53,3 +56,18 @@ def position(epoch: Column, bucket: Column, params: Params) -> Column:
 def nanoseconds(ts: Column) -> Column:
     """Nanoseconds since 1970-01-01 of a timestamp without zone, whatever the session's zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz")) * 1000
+
+
+def within(ts: Column, span: Range, params: Params) -> Column:
+    """Whether a timestamp without zone falls in one of the epochs that a range touches, as bounds that a scan can use."""
+    if span.empty:
+        return F.lit(False)
+    low, high = span.first_epoch // 1000, -(-(span.last_epoch + params.duration) // 1000)
+    literal = lambda us: F.expr(f"timestamp_ntz'{datetime(1970, 1, 1) + timedelta(microseconds=us)}'")
+    out = ts >= literal(low)
+    return out & (ts < literal(high)) if high < LAST_US else out
+
+
+def ns_within(ns: Column, span: Range, params: Params) -> Column:
+    """The same for nanoseconds."""
+    return F.lit(False) if span.empty else (ns >= span.first_epoch) & (ns < min(span.last_epoch + params.duration, LAST - 1))

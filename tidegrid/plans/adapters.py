@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.functions.timeaxis import nanoseconds
+from tidegrid.functions.timeaxis import Range, nanoseconds, within
 from tidegrid.params import Params
 
 HOURLY = Params.of("24h", "1h", "720h")
@@ -17,47 +17,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(rows: DataFrame, ts: str, span: Range | None, params: Params) -> DataFrame:
+    """rows of the epochs that a range touches, by bounds on the stored column, so that the scan skips the others."""
+    return rows if span is None else rows.where(within(F.col(ts), span, params))
+
+
 def shaped(rows: DataFrame, ts: Column, fields: list[Column], total: Column, count: Column | None = None) -> DataFrame:
     path = F.array(*[x.cast("string") for x in fields])
     return rows.select(nanoseconds(ts).alias("ts_ns"), path.alias("fields"), total.cast("double").alias("total"), (F.lit(1.0) if count is None else count.cast("double")).alias("count"))
 
 
-def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
+def e1(spark: SparkSession, sf_dir: str, span: Range | None = None) -> DataFrame:
     """Events by type and a fifth of the users."""
-    return shaped(table(spark, sf_dir, "events"), F.col("ts"), [F.col("event_type"), F.col("user_id") % 5], F.col("value"))
+    return shaped(bounded(table(spark, sf_dir, "events"), "ts", span, HOURLY), F.col("ts"), [F.col("event_type"), F.col("user_id") % 5], F.col("value"))
 
 
-def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def e2(spark: SparkSession, sf_dir: str, span: Range | None = None) -> DataFrame:
     """Events by type, a fifth of the users and user."""
-    return shaped(table(spark, sf_dir, "events"), F.col("ts"), [F.col("event_type"), F.col("user_id") % 5, F.col("user_id")], F.col("value"))
+    return shaped(bounded(table(spark, sf_dir, "events"), "ts", span, HOURLY), F.col("ts"), [F.col("event_type"), F.col("user_id") % 5, F.col("user_id")], F.col("value"))
 
 
-def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
+def e3(spark: SparkSession, sf_dir: str, span: Range | None = None) -> DataFrame:
     """Events by paths of one to three of those fields."""
-    rows = table(spark, sf_dir, "events")
+    rows = bounded(table(spark, sf_dir, "events"), "ts", span, HOURLY)
     whole = shaped(rows.withColumn("depth", (F.col("event_id") % 3 + 1).cast("int")), F.col("ts"), [F.col("event_type"), F.col("user_id") % 5, F.col("user_id"), F.col("depth")], F.col("value"))
     return whole.withColumn("fields", F.slice("fields", F.lit(1), F.get("fields", F.lit(3)).cast("int")))
 
 
-def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
+def e4(spark: SparkSession, sf_dir: str, span: Range | None = None) -> DataFrame:
     """Orders by priority and status."""
-    return shaped(table(spark, sf_dir, "orders"), F.col("o_orderdate"), [F.col("o_orderpriority"), F.col("o_orderstatus")], F.col("o_totalprice"))
+    return shaped(bounded(table(spark, sf_dir, "orders"), "o_orderdate", span, DAILY), F.col("o_orderdate"), [F.col("o_orderpriority"), F.col("o_orderstatus")], F.col("o_totalprice"))
 
 
-def e5(spark: SparkSession, sf_dir: str) -> DataFrame:
+def e5(spark: SparkSession, sf_dir: str, span: Range | None = None) -> DataFrame:
     """Line items by return flag and status."""
-    return shaped(table(spark, sf_dir, "lineitem"), F.col("l_shipdate"), [F.col("l_returnflag"), F.col("l_linestatus")], F.col("l_extendedprice"))
+    return shaped(bounded(table(spark, sf_dir, "lineitem"), "l_shipdate", span, DAILY), F.col("l_shipdate"), [F.col("l_returnflag"), F.col("l_linestatus")], F.col("l_extendedprice"))
 
 
-def e6(spark: SparkSession, sf_dir: str) -> DataFrame:
+def e6(spark: SparkSession, sf_dir: str, span: Range | None = None) -> DataFrame:
     """Line items summed up by order, time and flags, with the number of lines as count."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_shipdate", "l_returnflag", "l_linestatus").agg(F.sum("l_extendedprice").alias("price"), F.count(F.lit(1)).alias("n"))
+    rows = bounded(table(spark, sf_dir, "lineitem"), "l_shipdate", span, DAILY).groupBy("l_orderkey", "l_shipdate", "l_returnflag", "l_linestatus").agg(F.sum("l_extendedprice").alias("price"), F.count(F.lit(1)).alias("n"))
     return shaped(rows, F.col("l_shipdate"), [F.col("l_returnflag"), F.col("l_linestatus")], F.col("price"), F.col("n"))
 
 
-def e7(spark: SparkSession, sf_dir: str) -> DataFrame:
+def e7(spark: SparkSession, sf_dir: str, span: Range | None = None) -> DataFrame:
     """Line items by the supplier's region, nation and name."""
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = bounded(table(spark, sf_dir, "lineitem"), "l_shipdate", span, DAILY).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return shaped(rows, F.col("l_shipdate"), [F.col("r_name"), F.col("n_name"), F.col("s_name")], F.col("l_quantity"))
 

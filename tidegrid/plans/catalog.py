@@ -10,12 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.errors import InvalidTime
 from tidegrid.functions.paths import checked_pattern
 from tidegrid.functions.timeaxis import nanoseconds, ns_range, position
 from tidegrid.operators import fetch, rollup
 from tidegrid.params import Params
 from tidegrid.plans import adapters as A
 from tidegrid.plans.adapters import DAILY, DAY, HOUR, HOURLY, SQL
+from tidegrid.plans.route import cells_of
 from tidegrid.sources.files import scratch
 from tidegrid.sources.store import MetricStore, load_all
 from tidegrid.streaming.track import track_stream, windowed
@@ -72,10 +74,11 @@ def flat(points: DataFrame) -> DataFrame:
 
 
 def add_fetch(name: str, adapter: Query, p: Params, start: int, end: int, pattern: list[str]) -> None:
-    """Straight from events: the pattern below the aggregate, sums of one level only."""
+    """Straight from events: pattern and epochs below the aggregate, sums of one level only."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return flat(fetch.points(rollup.rollup_at(adapter(spark, sf_dir), p, pattern), ns_range(start, end, p), p))
+        span = ns_range(start, end, p)
+        return flat(fetch.points(rollup.rollup_at(adapter(spark, sf_dir, span), p, pattern, span), span, p))
 
     add(name, run, fetch_sql(SQL[adapter], p, start, end, pattern))
 
@@ -131,11 +134,17 @@ add_rollup("orders_rollup", A.e4, DAILY)
 add_rollup("region_rollup", A.e7, DAILY)
 
 
-def slice_form_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def explode_form_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One level of the rollup of all levels."""
     return listed(rollup.cells_at(rollup.rollup(A.e2(spark, sf_dir), HOURLY), ["*", "*"]))
 
 
+def slice_form_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same level alone, from one row an event."""
+    return listed(rollup.rollup_at(A.e2(spark, sf_dir), HOURLY, ["*", "*"]))
+
+
+add("explode_form_rollup", explode_form_rollup, ORACLE_SQL["rollup_depth2"])
 add("slice_form_rollup", slice_form_rollup, ORACLE_SQL["rollup_depth2"])
 
 
@@ -163,13 +172,19 @@ add_fetch("fetch_lineitem", A.e5, DAILY, Y96 + 10 * DAY, Y96 + 100 * DAY, ["*",
 add_fetch("fetch_region", A.e7, DAILY, Y96, Y96 + 45 * DAY, ["ASIA", "*"])
 add_fetch("fetch_orders_month", A.e4, DAILY, Y96, Y96 + 365 * DAY, ["*", "*"])
 
+add_fetch("fetch_unknown_first", A.e1, HOURLY, D2, D2 + 3 * DAY, ["zzz"])
+add_fetch("fetch_leading_wild_users", A.e2, HOURLY, D2, D2 + 2 * DAY, ["*", "3", "*"])
+add_fetch("fetch_leading_wild_nation", A.e7, DAILY, Y96, Y96 + 45 * DAY, ["*", "JAPAN"])
+add_fetch("fetch_ragged", A.e3, HOURLY, D2, D2 + 2 * DAY, ["*", "*"])
+
 SPAN = (JAN - 2 * DAY, D2 + 2 * DAY + 3 * HOUR)
 
 
 def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounds and number of series of every chunk, also of empty ones."""
-    cells = rollup.rollup_at(A.e2(spark, sf_dir), HOURLY, ["click", "*", "*"])
-    return fetch.chunk_bounds(cells, ns_range(*SPAN, HOURLY), HOURLY).select("epoch", F.col("from").alias("from_ns"), F.col("to").alias("to_ns"), "n_series")
+    span = ns_range(*SPAN, HOURLY)
+    cells = rollup.rollup_at(A.e2(spark, sf_dir, span), HOURLY, ["click", "*", "*"], span)
+    return fetch.chunk_bounds(cells, span, HOURLY).select("epoch", F.col("from").alias("from_ns"), F.col("to").alias("to_ns"), "n_series")
 
 
 def bounds_sql() -> str:
@@ -184,9 +199,12 @@ add("chunk_bounds", chunk_bounds, bounds_sql())
 
 def chunks_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested chunks, taken apart again."""
-    cells = rollup.rollup_at(A.e1(spark, sf_dir), HOURLY, ["*", "3"])
-    rows = fetch.chunks(cells, ns_range(D2 + 7 * HOUR, D2 + 3 * DAY, HOURLY), HOURLY).select("from", "to", F.explode("series").alias("s"))
-    rows = rows.select("from", "to", "s.fields", F.posexplode("s.points").alias("i", "point"))
+    span = ns_range(D2 + 7 * HOUR, D2 + 3 * DAY, HOURLY)
+    return unnested(fetch.chunks(rollup.rollup_at(A.e1(spark, sf_dir, span), HOURLY, ["*", "3"], span), span, HOURLY))
+
+
+def unnested(chunks: DataFrame) -> DataFrame:
+    rows = chunks.select("from", "to", F.explode("series").alias("s")).select("from", "to", "s.fields", F.posexplode("s.points").alias("i", "point"))
     return rows.select(F.col("from").alias("from_ns"), F.col("to").alias("to_ns"), path(), "i", F.round("point.total", 4).alias("total"), "point.count")
 
 
@@ -201,6 +219,60 @@ def series_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("series_listing", series_listing, f"select distinct epoch, array_to_string(f, '/') as path from ({cells_sql(SQL[A.e3], HOURLY)})")
 
+# values and ranges at the edges
+
+
+def zero_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series that only zeros were tracked in are there all the same."""
+    span = ns_range(D2, D2 + 2 * DAY, HOURLY)
+    rows = A.e1(spark, sf_dir, span).withColumns({"total": F.col("total") * 0, "count": F.col("count") * 0})
+    return flat(fetch.points(rollup.rollup_at(rows, HOURLY, ["error", "*"], span), span, HOURLY))
+
+
+add("zero_series", zero_series, fetch_sql(f"select t, f, total * 0 as total, count * 0 as count from ({SQL[A.e1]})", HOURLY, D2, D2 + 2 * DAY, ["error", "*"]))
+
+
+def nan_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum with a measure that is no number is none either; the count stays."""
+    rows = A.e1(spark, sf_dir).withColumn("total", F.when(F.col("total") < 5, F.lit(float("nan"))).otherwise(F.col("total")))
+    cells = rollup.rollup_at(rollup.measurements(rows), HOURLY, ["*"])
+    return cells.select(path(), "bucket", F.isnan("total").alias("none"), F.col("count"))
+
+
+add("nan_sums", nan_sums, f"select array_to_string(f, '/') as path, bucket, total > 0 as none, count from ({cells_sql(f'select t, f, cast(total < 5 as integer) as total, count from ({SQL[A.e1]})', HOURLY, 1)})")
+
+RANGES = [(5, 1), (-1, HOUR), (0, 0), (0, HOUR - 1), (HOUR, HOUR), (HOUR + 1, HOUR + 2), (0, HOUR), (DAY - 1, DAY + HOUR), (HOUR, 1 << 62), (3 * HOUR + 7, 2 * DAY + 9)]
+
+
+def range_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ranges are errors, and the buckets and epochs of the others."""
+    out = []
+    for start, end in RANGES:
+        try:
+            r = ns_range(start, end, HOURLY)
+            out.append((start, end, "empty" if r.empty else "range", r.lo, r.hi, r.first_epoch, None if r.empty else r.last_epoch))
+        except InvalidTime:
+            out.append((start, end, "error", None, None, None, None))
+    return spark.createDataFrame(out, "start_ns long, end_ns long, kind string, lo long, hi long, first_epoch long, last_epoch long")
+
+
+add("range_rules", range_rules, f"""with r as (select * from (values {", ".join(f"({a}::bigint, {b}::bigint)" for a, b in RANGES)}) x(s, e)),
+    k as (select s, e, s < 0 or e < s or e < {HOUR} as bad, s // {HOUR} * {HOUR} as lo, e // {HOUR} * {HOUR} as hi from r)
+    select s as start_ns, e as end_ns, case when bad then 'error' when lo >= hi then 'empty' else 'range' end as kind, case when not bad then lo end as lo, case when not bad then hi end as hi,
+        case when not bad then lo // {DAY} * {DAY} end as first_epoch, case when not bad and lo < hi then (hi - 1) // {DAY} * {DAY} end as last_epoch from k""")
+
+
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each kind an ingest leaves out."""
+    rows = A.e1(spark, sf_dir).withColumns({
+        "fields": F.when(F.col("total") < 10, F.array_append("fields", F.lit("*"))).otherwise(F.col("fields")),
+        "ts_ns": F.when(F.col("total") > 90, -F.col("ts_ns")).otherwise(F.col("ts_ns")),
+    })
+    return rollup.rejected(rows).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+add("rejected_rows", rejected_rows, f"select case when total > 90 then 'invalid timestamp' else 'invalid fields' end as reason, count(*) as n from ({SQL[A.e1]}) where total > 90 or total < 10 group by 1")
+
 # stores
 
 
@@ -237,6 +309,30 @@ def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("compacted", compacted, ORACLE_SQL["fetch_wild_first"])
 
 
+def store_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested chunks of a store, opened for reading only."""
+    store = store_of(spark, "chunked", *halves(spark, sf_dir))
+    store.compact()
+    return unnested(MetricStore(spark, store.path, store.params, read_only=True).fetch_chunks(D2 + 7 * HOUR, D2 + 3 * DAY, ["*", "3"]))
+
+
+add("store_chunks", store_chunks, ORACLE_SQL["chunks_flat"])
+
+
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question put to a store where there is one with the parameters, else to the events: both answers side by side."""
+    p, pattern, (start, end) = HOURLY, ["click", "*"], (D2, D2 + 2 * DAY)
+    span = ns_range(start, end, p)
+    out = None
+    for name, stores in (("events", []), ("store", [store_of(spark, "routed", A.e1(spark, sf_dir)), store_of(spark, "other", params=DAILY)])):
+        rows = flat(fetch.points(cells_of(A.e1(spark, sf_dir, span), p, pattern, span, stores), span, p)).withColumn("source", F.lit(name))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+add("routed", routed, " union all ".join(f"select *, '{name}' as source from ({fetch_sql(SQL[A.e1], HOURLY, D2, D2 + 2 * DAY, ['click', '*'])})" for name in ("events", "store")))
+
+
 def expire_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of a store after all epochs that start before a time within one have gone."""
     store = store_of(spark, "expire", A.e1(spark, sf_dir))
@@ -291,6 +387,36 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("stream_rollup", stream_rollup, LISTED.format(cells_sql(SQL[A.e1], HOURLY, 2)))
 
 
+def stream_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams into one store, whose last micro-batches come again after a compaction: all count once."""
+    store = store_of(spark, "replayed")
+    rows = streamed(spark, sf_dir)
+    even = F.xxhash64("ts_ns", "fields", "total") % 2 == 0
+    for half in (rows.where(even), rows.where(~even)):
+        track_stream(half, store, scratch(spark, "checkpoint"), once=True).awaitTermination()
+    first = store.cells().select("batch").distinct().collect()
+    store.compact()
+    for name, half in zip(sorted({r.batch for r in first}), halves(spark, sf_dir), strict=True):
+        store.write_batch(rollup.measurements(half), name)
+    return listed(rollup.summed(store.cells().where("depth = 2")))
+
+
+add("stream_replayed", stream_replayed, ORACLE_SQL["stream_rollup"])
+
+
+def stream_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of a streaming aggregate that are over a day older than the newest event, each written once."""
+    rows = streamed(spark, sf_dir).withColumn("ts", F.timestamp_micros((F.col("ts_ns") / 1000).cast("long")))
+    to = scratch(spark, "closed")
+    query = windowed(rows, HOURLY, late="1 day").writeStream.outputMode("append").format("parquet").option("path", to).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(to).select(path(), "bucket", *measures())
+
+
+add("stream_watermark", stream_watermark, f"""select array_to_string(f, '/') as path, bucket, round(total, 4) as total, count from ({cells_sql(SQL[A.e1], HOURLY)})
+    where bucket + {HOUR} <= (select max(t) // 1000000 * 1000000 - {DAY} from ({SQL[A.e1]}))""")
+
+
 def stream_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events rolled up by a streaming aggregate whose state is written out whole."""
     rows = streamed(spark, sf_dir).withColumn("ts", F.timestamp_micros((F.col("ts_ns") / 1000).cast("long")))
