@@ -117,5 +117,10 @@ def over_batches(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Ite
     return run
 
 
+def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, ...]:
+    """docs with columns called by their number, and what the named ones are called now: own columns can't clash with them."""
+    return docs.toDF(*(f"given_{i}" for i in range(len(docs.columns)))), *(f"given_{docs.columns.index(c)}" for c in columns)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

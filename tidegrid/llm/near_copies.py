@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tidegrid.llm.common import dropped, over_batches, parallelism, written
+from tidegrid.llm.common import dropped, numbered, over_batches, parallelism, written
 from tidegrid.llm.components import connected_components, first_of_each
 from tidegrid.llm.simhash import SEED, ball_links, hashes, majority
 from tidegrid.llm.words import texts
@@ -234,28 +234,29 @@ def links(rows: DataFrame, text_col: str, shingle: int = SHINGLE, least: float =
     marks = some.groupBy("node").agg(F.min("mark").alias("_mark")).join(nodes, "node", "left_semi").select("_mark")
     chosen = rows.join(marks, "_mark", "left_semi").dropDuplicates(["_mark"]).select(F.col("_node").alias("node"), F.col(text_col).alias("text"))
     sets = written(chosen.mapInArrow(over_batches(packed), "node long, found binary"), "sets")
-    found = written(verified(proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, least), "links_found")
-    roots = written(connected_components(found), "roots")
     tried = proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-
-    def joined(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-        more = written(verified(candidates, sets, least), "links_found")
-        if more.isEmpty():
-            return found, roots
-        both = written(found.unionByName(more), "links_found")
-        return both, written(connected_components(both), "roots")
-
+    roots = written(connected_components(written(verified(tried, sets, least), "links_found")), "roots")
     for most in (CENTRES, None):
         chosen = written(apart(proposed.join(tried, ["a", "b"], "left_anti"), roots, most), "apart")
         tried = tried.unionByName(chosen)
-        found, roots = joined(chosen)
-    more = written(crossings(members.where("n > 3").select("bucket", "node"), roots, sets, least), "links_found")
-    if not more.isEmpty():
-        roots = written(connected_components(found.unionByName(more)), "roots")
-    dropped(proposed, sets, prints, found)
+        roots = merged(roots, written(verified(chosen, sets, least), "links_found"))
+    roots = merged(roots, written(crossings(members.where("n > 3").select("bucket", "node"), roots, sets, least), "links_found"))
+    dropped(proposed, sets, prints, members)
     return roots
 
 
+def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """roots (node, component) with more links (a, b): only components are linked anew, not all their nodes."""
+    if more.isEmpty():
+        return roots
+    new = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("component"))
+    nodes = written(roots.unionByName(new), "roots")
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}"))
+    ends = more.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    top = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return written(nodes.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "roots")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """docs without near copies: of all rows linked, directly or through others, by shingle similarity of least or more, one stays.
 
@@ -264,5 +265,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Candidates are found with probability 0.99995 at similarity 0.8, more above; none is linked unverified. Texts of any
     length are read whole. Columns of any name stay as they are. An empty table gives no rows.
     """
-    rows = written(_named(docs, text_col, shingle), "named")
-    return first_of_each(rows, links(rows, text_col, shingle, least), id_col).select(*docs.columns)
+    given, id_col, text_col = numbered(docs, id_col, text_col)
+    rows = written(_named(given, text_col, shingle), "named")
+    return first_of_each(rows, links(rows, text_col, shingle, least), id_col).select(*given.columns).toDF(*docs.columns)

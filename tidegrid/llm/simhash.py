@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidegrid.llm.common import over_batches, parallelism, written
+from tidegrid.llm.common import dropped, numbered, over_batches, parallelism, written
 from tidegrid.llm.components import connected_components, first_of_each
 
 BITS = 64
@@ -82,15 +82,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id of all rows whose fingerprints are linked, directly or through others, at 2 or fewer
     differing bits. A null text has no words, like an empty one: fingerprint zero, which links as any other. Repeated rows
     are all returned. Rows with a null id are returned and linked, but name a component only if it has no other row (then
-    component_id is null). An empty table gives no rows.
+    component_id is null). An empty table gives no rows. Texts of any length are read whole; other columns are not
+    looked at, whatever they are called.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "prints")
     firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    roots = written(connected_components(ball_links(firsts)), "roots")
+    roots = written(connected_components(ball_links(firsts)), "roots")  # of distinct fingerprints only
     linked = roots.withColumnRenamed("node", "fp").join(firsts, "fp").select("fp", "component", "first")
     lowest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     changed = linked.join(lowest, "component").select("fp", "component_id")
     named = written(firsts.join(changed, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "named")
+    dropped(firsts, roots)
     least = (named.agg(F.sum("n")).first()[0] or 0) / HEAVY
     heavy = F.broadcast(named.where(F.col("n") > least).select("fp", "component_id"))  # under HEAVY rows, whatever the input
     rest = prints.join(heavy, "fp", "left_anti").join(named.where(F.col("n") <= least), "fp")
@@ -103,13 +105,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     It is the row with the smallest id; a row with a null id stays only where the whole component has no other, then the one
     with the lowest fingerprint. Rows that repeat stay only once.
     """
-    at = docs.columns.index(text_col)
+    given, id_col, text_col = numbered(docs, id_col, text_col)
+    at = given.columns.index(text_col)
 
     def named(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, "_node"])
 
-    schema = StructType([*docs.schema.fields, StructField("_node", LongType())])
-    rows = written(docs.mapInArrow(over_batches(named), schema).withColumn("_mark", F.xxhash64(*docs.columns)), "named")
+    schema = StructType([*given.schema.fields, StructField("_node", LongType())])
+    rows = written(given.mapInArrow(over_batches(named), schema).withColumn("_mark", F.xxhash64(*given.columns)), "named")
     roots = written(connected_components(ball_links(written(rows.select(F.col("_node").alias("fp")).distinct(), "firsts"))), "roots")
-    return first_of_each(rows, roots, id_col).select(*docs.columns)
+    return first_of_each(rows, roots, id_col).select(*given.columns).toDF(*docs.columns)
