@@ -74,7 +74,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     two chunks and more are cut into overlapping chunks dealt over all tasks, whatever document they belong to: each is
     pre-tokenised, the boundaries shared with its neighbour give the pieces, and pieces are encoded apart and put together
     in order. Where the overlap has no shared boundary (text without blanks), neighbouring pieces are joined before they
-    are encoded, so results never depend on where the cuts fall.
+    are encoded, so results never depend on where the cuts fall. An empty table gives no rows; other columns are not
+    looked at.
     """
     import public_tokenizers
 
@@ -160,10 +161,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """encoded with a column decoded: the raw bytes of each row's ids, one after the other. Null ids decode to null."""
+    """encoded with a column decoded: the raw bytes of each row's ids, one after the other. Null ids decode to null.
+
+    A column that is called decoded already is replaced; all others stay as they are.
+    """
     import public_tokenizers
 
     path, pattern = path or rank_file(), pattern or public_tokenizers.PATTERN
+    encoded = encoded.drop("decoded")
     at = encoded.columns.index("ids")
 
     def bytes_of(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -181,7 +181,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     """(page_id, url, text, n_chars) for every row of pages.
 
     A null page, an empty one and one without main text have the empty text. Rows that repeat or have null ids or urls are
-    extracted like others; text of any length is kept whole. n_chars counts code points.
+    extracted like others; text of any length is kept whole, elements may be nested to any depth. An empty
+    table gives no rows; other columns are not looked at. n_chars counts code points.
     """
     weights = trained()
 

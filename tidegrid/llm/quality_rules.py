@@ -111,7 +111,8 @@ def judged(docs: DataFrame, trees: Trees | None, least: float = LEAST_CHANCE, id
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chance) for every row.
 
     A null text has no words, like an empty one, and fails the base rules. Rows that repeat or have a null id are judged like
-    others. chance is the trees' (1 where there are none).
+    others, an empty table gives no rows. Texts of any length are read whole; other columns are not looked at. chance is the
+    trees' (1 where there are none).
     """
 
     def rated(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -244,7 +244,8 @@ def scored(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, id_c
     """(doc_id, held_out, score, predicted, n_hits) for every row.
 
     Null and empty texts have no hits and the lowest score; rows that repeat or have a null id are scored like others. Long
-    texts are read whole; the score goes by hits for a given number of words, not by their sum.
+    texts are read whole; the score goes by hits for a given number of words, not by their sum. An empty table gives no
+    rows; other columns are not looked at.
     """
 
     def rated(batch: pa.RecordBatch) -> pa.RecordBatch:
