@@ -48,6 +48,7 @@ class Element:
     hidden: bool
     look: str | None
     looks: dict[str, int]
+    holds: int = 0
 
 
 @dataclass(slots=True)
@@ -203,6 +204,8 @@ def blocks(page: str | None) -> list[Block]:
                 hidden = "hidden" in named and "aria-hidden" not in named or "display:none" in named.get("style", "").lower().replace(" ", "")
                 look = f"{tag} {named['class']}" if named.get("class") else ""
         above = stack[-1] if stack else None
+        if above:
+            above.holds += 1
         around = (above.tags, above.words, above.hidden) if above else (frozenset(), frozenset(), False)
         tags = around[0] | {tag} if tag in TELLING_TAGS and tag not in around[0] else around[0]
         if look:
@@ -219,7 +222,7 @@ def blocks(page: str | None) -> list[Block]:
 
 def mark(e: Element, top: dict[str, int]) -> None:
     """Puts REPEATED among the words of an element if it, or one around it, is one of several alike: of one tag and class
-    within one element. So are comments, cards and teasers, whatever they are called."""
+    within one element, with other elements inside. So are comments, cards and teasers, whatever they are called."""
     path = []
     while e is not None and e.look is not None:
         path.append(e)
@@ -227,7 +230,7 @@ def mark(e: Element, top: dict[str, int]) -> None:
     repeated = e is not None and REPEATED in e.words
     for x in reversed(path):
         looks = x.above.looks if x.above else top
-        repeated = repeated or bool(x.look) and looks[x.look] > 1
+        repeated = repeated or bool(x.look) and x.holds > 0 and looks[x.look] > 1
         if repeated:
             x.words = x.words | {REPEATED}
         x.look = None  # done

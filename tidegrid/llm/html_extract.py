@@ -31,7 +31,7 @@ HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 def features(all_blocks: list[Block]) -> np.ndarray:
     """What the classifier sees of each block of a page: where it stands, how much of it is links, how it reads."""
-    out = np.zeros((len(all_blocks), 19))
+    out = np.zeros((len(all_blocks), 20))
     has_article = any("article" in b.tags or "main" in b.tags for b in all_blocks)
     longest = max((len(b.text) for b in all_blocks), default=1)
     for i, b in enumerate(all_blocks):
@@ -57,7 +57,8 @@ def features(all_blocks: list[Block]) -> np.ndarray:
             tag in ("li", "td", "dd"),
             sum(map(b.text.count, ".,;:!?")) / len(b.text) * 20,
             min(1.0, 40 * (lower.count("\u00a9") + lower.count("copyright")) / len(b.text)),
-            REPEATED in words,
+            REPEATED in words and not inner,
+            REPEATED in words and inner,
         )
     return out
 
@@ -95,7 +96,8 @@ def page(rng: random.Random) -> str:
         return f"<p>{mark}{text}" + ("</p>" if rng.random() < 0.8 else "")
 
     advert = lambda: rng.choice((f'<div class="{rng.choice(("ad", "ads", "advert", "sponsored", "promo-box"))}">{rng.choice((sentences(1, 2), words(3, 9), link()))}</div>', ""))
-    menu = boxed("nav", ("nav", "menu", "main-menu", "breadcrumb"), links())
+    bare = lambda inside: rng.choice((inside, f"<div>{inside}</div>"))
+    menu = boxed("nav", ("nav", "menu", "main-menu", "breadcrumb"), links()) if rng.random() < 0.85 else bare(links())
     header = boxed("header", ("header", "masthead", "site-header"), f"<div>{words(1, 4)}</div>{links() if rng.random() < 0.5 else ''}<p>{words(2, 8)}</p>") if rng.random() < 0.5 else ""
     side = boxed("aside", ("sidebar", "widget", "related"), f"<h3>{words(1, 3)}</h3>{rng.choice((links(), f'<p>{sentences(1, 3)}</p>'))}") if rng.random() < 0.5 else ""
     notice = f'<div class="{rng.choice(("cookie-banner", "cookie-notice", "notice", "consent", "newsletter"))}"><p>{sentences(1, 2)}</p></div>' if rng.random() < 0.4 else ""
@@ -105,12 +107,25 @@ def page(rng: random.Random) -> str:
     reader = lambda: rng.choice((f'<span>{words(1, 2)}</span><p>{sentences(1, 4)}</p>', f'<p>{sentences(1, 4)}</p>', f'<h4>{words(1, 2)}</h4><div>{sentences(1, 3)}</div>'))
     unnamed = f'<div class="{odd()}">{"".join(f"<div class={chr(34)}{one}{chr(34)}>{reader()}</div>" for _ in range(many))}</div>' if rng.random() < 0.3 else ""
     comments = f'<{"section" if rng.random() < 0.5 else "div"} {rng.choice(("class", "id"))}="comments"><h3>{words(1, 3)}</h3>' + "".join(f'<div class="comment"><p>{sentences(1, 4)}</p></div>' for _ in range(rng.randint(1, 5))) + "</section></div>" if rng.random() < 0.5 else ""
-    footer = boxed("footer", ("footer", "site-footer"), f"&copy; {words(1, 3)} &middot; {rng.choice((sentences(1, 2), links()))}")
+    rights = lambda: rng.choice((f"&copy; {words(1, 3)} &middot; {rng.choice((sentences(1, 2), links()))}", f"Copyright {rng.randint(1990, 2030)} {words(1, 3)}. {rng.choice(('All rights reserved.', ''))}"))
+    footer = boxed("footer", ("footer", "site-footer"), rights()) if rng.random() < 0.85 else bare(f"<p>{rights()}</p>")
     mark = "\ue000"
     head = f"<h1>{mark}{words(2, 10)}</h1>"
     if rng.random() < 0.3:
         head = f'<div class="{rng.choice(("post-header", "entry-header", "article-header", "title", odd()))}">{head}{f"<h2>{mark}{words(3, 9)}</h2>" if rng.random() < 0.3 else ""}</div>'
-    inside = head + "".join(paragraph(mark) + (advert() if rng.random() < 0.15 else "") for _ in range(rng.randint(1, 9)))
+    own, form_of = odd(), rng.random()
+
+    def wrapped(text: str) -> str:
+        """Paragraphs of one class, sections of one class, or plain ones, the same way all over a page."""
+        if form_of < 0.1:
+            return f'<div class="{own}">{mark}{sentences(1, 6)}</div>'
+        if form_of < 0.2:
+            return f'<p class="{own}">{mark}{sentences(1, 6)}</p>'
+        if form_of < 0.3:
+            return f'<{rng.choice(("div", "section"))} class="{own}">{f"<h2>{mark}{words(2, 7)}</h2>" if rng.random() < 0.5 else ""}<p>{mark}{sentences(2, 6)}</p></div></section>'
+        return text
+
+    inside = head + "".join(wrapped(paragraph(mark)) + (advert() if rng.random() < 0.15 else "") for _ in range(rng.randint(1, 9)))
     if rng.random() < 0.15:
         inside += side + form
     if rng.random() < 0.2:
