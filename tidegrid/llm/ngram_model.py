@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,8 @@ from tidegrid.llm.words import texts
 ORDER = 5
 #: Bytes of text in a block, and of text whose n-grams are listed at once.
 BLOCK, PART = 24 << 20, 1 << 20
-#: A document is kept up to this quantile of its language's trusted documents, each scored without its fold's counts.
+#: A document is kept up to this quantile of its language's trusted documents in one of so many folds, which are scored by a
+#: model of the other folds.
 QUANTILE, FOLDS = 0.99, 3
 #: Times that rows are read again whose block came out otherwise.
 TRIES = 5
@@ -216,7 +216,7 @@ def _asked_and_summed(rows: DataFrame, model: DataFrame, order: int) -> DataFram
 
     def summed(batches):
         for key, raw, own in blocks(batches, 2):
-            sums, texts_left = pa.nulls(len(raw), pa.float64()), pa.array(raw, pa.binary())
+            sums, texts_left = pa.nulls(len(raw), pa.float64()), None
             if there(f"{path}/{key:016x}.bin"):
                 data = got(f"{path}/{key:016x}.bin")
                 g, log_p = np.frombuffer(data, "<i8", len(data) // 16), np.frombuffer(data, "<f8", -1, len(data) // 2)
@@ -227,10 +227,11 @@ def _asked_and_summed(rows: DataFrame, model: DataFrame, order: int) -> DataFram
                     at = np.searchsorted(g, told.dictionary.to_numpy())
                     found_sums.append(np.add.reduceat(log_p[at][told.indices.to_numpy()], starts))
                 sums, texts_left = pa.array(np.concatenate(found_sums)), pa.nulls(len(raw), pa.binary())
+                del data, g, log_p
             together = pa.Table.from_batches(own).combine_chunks()
             n = pa.array([len(t) + 1 for t in raw], pa.int64())
             one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-            yield pa.RecordBatch.from_arrays([one(together["doc_id"]), one(together["lang"]), n, sums, texts_left], names=["doc_id", "lang", "n_bytes", "log_p", "raw"])
+            yield pa.RecordBatch.from_arrays([one(together["doc_id"]), one(together["lang"]), n, sums, pa.array(raw, pa.binary()) if texts_left is None else texts_left], names=["doc_id", "lang", "n_bytes", "log_p", "raw"])
 
     return rows.mapInArrow(summed, "doc_id long, lang string, n_bytes long, log_p double, raw binary")
 
@@ -260,28 +261,19 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
     """(doc_id, lang, n_bytes, perplexity, threshold, kept) for every row of docs.
 
     The model is counted over the texts of all trusted_ids (doc_id); perplexity is a byte's. A language's threshold is the
-    quantile of its trusted documents' perplexities, each by a model of the other folds, so that no document vouches for
-    itself; those to which the other folds give no probability at all (few and odd texts) set no limit. A trusted id that
+    quantile of the perplexities of its trusted documents in one fold by a model of the others, so that no document vouches
+    for itself; those to which the other folds give no probability at all (few and odd texts) set no limit. A trusted id that
     many rows share is split by the skew handling of the join that picks trusted rows. An empty table gives no rows.
-    A language without trusted documents, null among them, takes that of all trusted documents together. Without any
+    A language without trusted documents in the fold, null among them, takes that of all of the fold together. Without any
     trusted document all rows are kept.
     """
     trusted_ids = trusted_ids.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     trusted = written(packed_texts(docs, id_col, text_col, lang_col).join(trusted_ids.hint("merge"), "doc_id", "left_semi"), "trusted")  # one plan for all sizes
-    by_fold = [written(counts(trusted.where(F.col("fold") == k), order), "counts") for k in range(FOLDS)]
-
-    def of_folds(folds: Iterable[int]) -> DataFrame:
-        return written(reduce(DataFrame.unionByName, [by_fold[k] for k in folds]).groupBy("g").agg(F.sum("c").alias("c")), "counts")
-
-    known = None
-    for k in range(FOLDS):
-        others = of_folds(j for j in range(FOLDS) if j != k)
-        own = scored(unpacked_texts(trusted.where(F.col("fold") == k)), others, order, "doc_id", "text", "lang").select("lang", F.exp(-F.col("log_p") / F.col("n_bytes")).alias("perplexity"))
-        dropped(others)
-        known = own if known is None else known.unionByName(own)
-    model = of_folds(range(FOLDS))
-    for table in (*by_fold, trusted):
-        dropped(table)
+    kept_back = trusted.agg(F.min("fold")).first()[0] or 0  # the first fold that has any
+    others, own = (written(counts(trusted.where(test), order), "counts") for test in (F.col("fold") != kept_back, F.col("fold") == kept_back))
+    known = scored(unpacked_texts(trusted.where(F.col("fold") == kept_back)), others, order, "doc_id", "text", "lang").select("lang", F.exp(-F.col("log_p") / F.col("n_bytes")).alias("perplexity"))
+    model = written(others.unionByName(own).groupBy("g").agg(F.sum("c").alias("c")), "counts")
+    dropped(others, own, trusted)
     rows = scored(docs, model, order, id_col, text_col, lang_col).withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_bytes")))
     dropped(model)
     of = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
