@@ -22,7 +22,7 @@ from tidegrid.llm.words import texts
 
 ORDER = 5
 #: Bytes of text in a block, and of text whose n-grams are listed at once.
-BLOCK, PART = 24 << 20, 1 << 20
+BLOCK, PART = 20 << 20, 1 << 20
 #: A document is kept up to this quantile of its language's trusted documents in one of so many folds, which are scored by a
 #: model of the other folds.
 QUANTILE, FOLDS = 0.99, 3
@@ -125,8 +125,15 @@ def probabilities(model: DataFrame, asked: DataFrame, order: int = ORDER) -> Dat
     return known
 
 
+def raw_of(text: str | bytes | None) -> bytes:
+    """The bytes of a text, or of a compressed one."""
+    return zlib.decompress(text) if isinstance(text, bytes) else (text or "").encode()
+
+
 def blocks(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[tuple[int, list[bytes], list[pa.RecordBatch]]]:
-    """(key, texts, batches without texts): the rows in stretches of about BLOCK bytes; the key follows from the texts."""
+    """(key, texts, batches without texts): the rows in stretches of about BLOCK bytes; the key follows from the texts.
+
+    The column of texts may hold compressed ones."""
     raw, rows, size = [], [], 0
 
     def whole():
@@ -137,16 +144,16 @@ def blocks(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[tuple[int, li
         return digest.intdigest() >> 1, raw, rows
 
     for batch in batches:
-        begin = 0
+        begin, rest = 0, batch.select([k for k in range(batch.num_columns) if k != at])
         for i, text in enumerate(texts(batch.column(at))):
-            raw.append((text or "").encode())
+            raw.append(raw_of(text))
             size += len(raw[-1])
             if size >= BLOCK:
-                rows.append(batch.slice(begin, i + 1 - begin))
+                rows.append(rest.slice(begin, i + 1 - begin))
                 yield whole()
                 raw, rows, size, begin = [], [], 0, i + 1
         if begin < batch.num_rows:
-            rows.append(batch.slice(begin))
+            rows.append(rest.slice(begin))
     if raw:
         yield whole()
 
@@ -154,13 +161,15 @@ def blocks(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[tuple[int, li
 def scored(docs: DataFrame, model: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n_bytes, log_p) for every row: the log probability of its whole text's bytes and its end; written.
 
+    The text is a string, or what packed_texts() makes of one.
+
     The rows are read twice and fall into the same blocks both times as long as partitions keep their order. Those of a
     block that comes out otherwise the second time, because docs is made anew in another order or by other executors, are
     put down and asked for again, so each row is scored once whatever happens. A null text is an empty one, of which only
     the end is predicted. Rows that repeat or have null ids or languages are scored like others, texts of any length whole.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    done, left = None, None
+    done = None
     for _ in range(TRIES):
         once = written(_asked_and_summed(rows, model, order), "scored")
         good = once.where("log_p is not null").select("doc_id", "lang", "n_bytes", "log_p")
@@ -248,15 +257,6 @@ def packed_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     return rows.mapInArrow(over_batches(packs), "doc_id long, lang string, fold int, text binary")
 
 
-def unpacked_texts(packed: DataFrame) -> DataFrame:
-    """(doc_id, lang, text) of rows of packed_texts()."""
-
-    def unpacks(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zlib.decompress(t).decode() for t in texts(batch.column(2))], pa.string())], names=["doc_id", "lang", "text"])
-
-    return packed.select("doc_id", "lang", "text").mapInArrow(over_batches(unpacks), "doc_id long, lang string, text string")
-
-
 def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, kept) for every row of docs.
 
@@ -271,7 +271,7 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE,
     trusted = written(packed_texts(docs, id_col, text_col, lang_col).join(trusted_ids.hint("merge"), "doc_id", "left_semi"), "trusted")  # one plan for all sizes
     kept_back = trusted.agg(F.min("fold")).first()[0] or 0  # the first fold that has any
     others, own = (written(counts(trusted.where(test), order), "counts") for test in (F.col("fold") != kept_back, F.col("fold") == kept_back))
-    known = scored(unpacked_texts(trusted.where(F.col("fold") == kept_back)), others, order, "doc_id", "text", "lang").select("lang", F.exp(-F.col("log_p") / F.col("n_bytes")).alias("perplexity"))
+    known = scored(trusted.where(F.col("fold") == kept_back), others, order, "doc_id", "text", "lang").select("lang", F.exp(-F.col("log_p") / F.col("n_bytes")).alias("perplexity"))
     model = written(others.unionByName(own).groupBy("g").agg(F.sum("c").alias("c")), "counts")
     dropped(others, own, trusted)
     rows = scored(docs, model, order, id_col, text_col, lang_col).withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_bytes")))
