@@ -143,3 +143,14 @@ def test_files_are_replaced_whole(spark, tmp_path):
         store.files.write(f"{store.path}/x/y", text)
         assert store.files.read(f"{store.path}/x/y") == text
     assert store.files.files(f"{store.path}/x") in (["y"], [".y.crc", "y"])
+
+
+def test_reader_sees_later_writes(spark, tmp_path):
+    store = MetricStore.open(spark, f"file://{tmp_path}/db", P0)
+    store.sync()
+    store.close()
+    reader = load_all(spark, f"file://{tmp_path}", read_only=True)["db"]
+    assert reader.fetch(0, R, ["a"]).count() == 0
+    store.track(spark.createDataFrame([(0, ["a"], 1.0, 1.0)], SCHEMA))
+    assert points(reader.fetch(0, R, ["a"])) == [(0, "a", 0, 1.0, 1.0)]
+    assert [b.name for b in (tmp_path / "db" / "cells").iterdir() if b.name.startswith("epoch")] == ["epoch=0"]

@@ -10,11 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.errors import InvalidTime
+from tidegrid.errors import InvalidParams, InvalidTime, ReadOnly
 from tidegrid.functions.paths import checked_pattern
 from tidegrid.functions.timeaxis import nanoseconds, ns_range, position
 from tidegrid.operators import fetch, rollup
-from tidegrid.params import Params
+from tidegrid.params import Params, parse_duration
 from tidegrid.plans import adapters as A
 from tidegrid.plans.adapters import DAILY, DAY, HOUR, HOURLY, SQL
 from tidegrid.plans.route import cells_of
@@ -273,6 +273,52 @@ def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("rejected_rows", rejected_rows, f"select case when total > 90 then 'invalid timestamp' else 'invalid fields' end as reason, count(*) as n from ({SQL[A.e1]}) where total > 90 or total < 10 group by 1")
 
+DURATIONS = [("1h", 3_600 * 10**9), ("1h30m", 5_400 * 10**9), ("90s", 90 * 10**9), ("1.5s", 1_500_000_000), ("-2ms", -2_000_000), ("0", 0), ("5", None), ("", None), ("1x", None), ("1 h", None)]
+
+
+def duration_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What duration strings mean in nanoseconds; null for those that are none."""
+
+    def meant(text: str) -> int | None:
+        try:
+            return parse_duration(text)
+        except InvalidParams:
+            return None
+
+    return spark.createDataFrame([(t, meant(t)) for t, _ in DURATIONS], "text string, ns long")
+
+
+add("duration_rules", duration_rules, f"select * from (values {', '.join(f"('{t}', {'null' if n is None else n}::bigint)" for t, n in DURATIONS)}) x(text, ns)")
+
+# duration, resolution, retention, limits on open epochs
+PARAMS = [("1h", "1m", "24h", 10, 3, True), ("1h", "31m", "24h", 10, 3, False), ("1h", "1m", "90m", 10, 3, False), ("1h", "1m", "24h", 10, 0, False), ("1h", "1h", "1h", 1, 1, True), ("0", "1m", "24h", 1, 1, False), ("1h", "2h", "24h", 1, 1, False), ("-1h", "1m", "24h", 1, 1, False)]
+
+
+def params_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parameters a store may have."""
+
+    def valid(*given) -> bool:
+        try:
+            return Params.from_json(Params.of(*given).to_json()) == Params.of(*given)
+        except InvalidParams:
+            return False
+
+    return spark.createDataFrame([(i, valid(*given)) for i, (*given, _) in enumerate(PARAMS)], "n int, valid boolean")
+
+
+add("params_rules", params_rules, f"select * from (values {', '.join(f'({i}::int, {str(ok).lower()})' for i, (*_, ok) in enumerate(PARAMS))}) x(n, valid)")
+
+
+def series_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every series in its chunk: by their fields, level by level."""
+    span = ns_range(D2, D2 + DAY, HOURLY)
+    rows = fetch.chunks(rollup.rollup_at(A.e2(spark, sf_dir, span), HOURLY, ["*", "*", "*"], span), span, HOURLY)
+    return rows.select(F.col("from").alias("from_ns"), F.posexplode("series").alias("place", "s")).select("from_ns", "place", path("s.fields"))
+
+
+add("series_order", series_order, f"""select epoch as from_ns, cast(row_number() over (partition by epoch order by f[1], f[2], f[3]) - 1 as integer) as place, array_to_string(f, '/') as path
+    from (select distinct epoch, f from ({cells_sql(SQL[A.e2], HOURLY, 3)}) where epoch = {D2})""")
+
 # stores
 
 
@@ -319,6 +365,27 @@ def store_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("store_chunks", store_chunks, ORACLE_SQL["chunks_flat"])
 
 
+def read_only_refuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which actions a store that is open for reading only refuses, and how many points it reads after a later write."""
+    store = store_of(spark, "refuses")
+    reader = MetricStore(spark, store.path, store.params, read_only=True)
+    store.track(A.e1(spark, sf_dir, ns_range(D2, D2 + DAY, HOURLY)))
+
+    def refused(action: Callable) -> int:
+        try:
+            action()
+            return 0
+        except ReadOnly:
+            return 1
+
+    rows = [("track", refused(lambda: reader.track(A.e1(spark, sf_dir)))), ("expire", refused(lambda: reader.expire(JAN))), ("compact", refused(reader.compact)), ("vacuum", refused(reader.vacuum))]
+    read = reader.fetch(D2, D2 + DAY, ["click"]).agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit("points").alias("action"), "n")
+    return spark.createDataFrame(rows, "action string, n int").union(read)
+
+
+add("read_only_refuses", read_only_refuses, "select * from (values ('track', 1), ('expire', 1), ('compact', 1), ('vacuum', 1), ('points', 24)) x(action, n)")
+
+
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question put to a store where there is one with the parameters, else to the events: both answers side by side."""
     p, pattern, (start, end) = HOURLY, ["click", "*"], (D2, D2 + 2 * DAY)
@@ -404,6 +471,22 @@ def stream_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("stream_replayed", stream_replayed, ORACLE_SQL["stream_rollup"])
 
 
+def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that come newest first, in several micro-batches, tracked by a stream without watermark."""
+    source = scratch(spark, "newest_first")
+    A.table(spark, sf_dir, "events").orderBy(F.desc("ts")).coalesce(1).write.option("maxRecordsPerFile", 4_000).parquet(source)
+    rows = spark.readStream.schema(A.table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    store = store_of(spark, "out_of_order")
+    events = A.shaped(rows, F.col("ts"), [F.col("event_type"), F.col("user_id") % 5], F.col("value"))
+    track_stream(events, store, scratch(spark, "checkpoint"), once=True)
+    store.streams[-1].awaitTermination()
+    store.close()
+    return listed(rollup.summed(store.cells().where("depth = 2")))
+
+
+add("stream_out_of_order", stream_out_of_order, ORACLE_SQL["stream_rollup"])
+
+
 def stream_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows of a streaming aggregate that are over a day older than the newest event, each written once."""
     rows = streamed(spark, sf_dir).withColumn("ts", F.timestamp_micros((F.col("ts_ns") / 1000).cast("long")))
