@@ -61,8 +61,8 @@ def test_large_ids_and_nulls(spark, library, monkeypatch):
 
 
 def test_one_id_repeated(spark, library, monkeypatch):
-    monkeypatch.setattr(token_store, "SHARD_ROWS", 2_000)
-    rows = [(5, ("same", "same", f"odd {i}")[i % 3]) for i in range(30_000)] + [(i, "other") for i in range(10, 2_000)]
+    monkeypatch.setattr(token_store, "SHARD_ROWS", 6_000)
+    rows = [(5, ("same", "same", f"odd {i}")[i % 3]) for i in range(100_000)] + [(i, "other") for i in range(10, 2_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     read(spark, library, rows, docs)
     ids = docs.select("doc_id", "text")
