@@ -6,10 +6,12 @@ other; extra columns stay as they are, whatever they are called. An empty table
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm import near_copies, packing, quality_rules, toxicity
-from tidegrid.llm.common import shipped, written
+from tidegrid.llm.common import dropped, shipped, written_alone
 
 
 def _given(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -50,8 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the table documents of a folder; labels are learned from its table labels."""
+    """The last stage's rows for the table documents of a folder; labels are learned from its table labels.
+
+    Each stage's result is written; what it wrote on the way, and what the stage before has written, is deleted.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, written_alone(partial(stage, spark, docs, sf_dir), name)
+        if k:
+            dropped(before)
     return docs

@@ -1,5 +1,6 @@
 """The corpus pipeline against plain Python, stage by stage and as a whole."""
 
+import pathlib
 import random
 import zlib
 from collections import defaultdict
@@ -72,7 +73,10 @@ def test_stages(spark, folder):
     for i, t in (of[k] for k in kept):
         ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
         pieces += [(str(i), k, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096])) for k, s in enumerate(range(0, len(ids), 4096))]
+    scratch = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "tidegrid"
+    there = set(scratch.iterdir())
     four = corpus_pipeline.run(spark, sf).collect()
+    assert [p.name.split("-")[0] for p in set(scratch.iterdir()) - there] == ["best_fit_packing"]  # nothing else is left behind
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in four) == sorted(pieces)
     for r in four:
         places[r.sequence_id].append((r.offset, r.length))

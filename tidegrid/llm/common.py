@@ -59,10 +59,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidegrid/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
+#: Paths of the tables that written() has made and dropped() has not deleted.
+_made: list[str] = []
+
+
+#: Rows of a file of narrow rows, at least, where there are as many.
+FILE_ROWS = 50_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and survives lost executors.
+
+    rows: about how many narrow rows it has at most. Few of them are written by few tasks, so that loops over small tables
+    don't make hundreds of files in every round.
+    """
     path = new_path(df.sparkSession, name)
+    tasks = parallelism(df.sparkSession)
+    if rows is not None and (files := rows // FILE_ROWS + 1) < tasks:
+        df = df.coalesce(files)
     df.write.parquet(path)
+    _made.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidegrid_path = path
     return out
@@ -71,9 +87,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of written() that no later result reads."""
     for df in tables:
-        spark, path = df.sparkSession, df._tidegrid_path
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _deleted(df.sparkSession, df._tidegrid_path)
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() gives as a table; the tables that were written on the way to it are deleted."""
+    before = set(_made)
+    out = written(make(), name)
+    for path in [p for p in _made if p not in before and p != out._tidegrid_path]:
+        _deleted(out.sparkSession, path)
+    return out
 
 
 def store(uri: str):

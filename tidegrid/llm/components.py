@@ -21,7 +21,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     links = links.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
     both = written(links.union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
+    n = both.count()
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels", n)
     while True:
         across = both.join(labels.withColumnRenamed("node", "b"), "b").select("a", F.col("label").alias("low"))
         own = labels.withColumnRenamed("node", "a")
@@ -29,7 +30,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         met = own.join(seen, "a").select(F.col("a").alias("node"), "label", "low")
         hooks = met.where("low < label").groupBy(F.col("label").alias("node")).agg(F.min("low").alias("hook"))
         nearer = met.join(hooks, "node", "left").select("node", F.col("label").alias("was"), F.expr("least(label, low, hook)").alias("label"))
-        nearer = written(nearer, "nearer")
+        nearer = written(nearer, "nearer", n)
         moved = nearer.where("label <> node").select(F.col("node").alias("label"), F.col("label").alias("jump"))
         aimed = nearer.groupBy("label").agg(F.lit(1).alias("one")).select("label")
         jumps = aimed.join(moved, "label").where("jump < label").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -38,6 +39,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             .join(jumps, ["label", "salt"], "left")
             .select("node", "was", F.expr("least(label, jump)").alias("label")),
             "labels",
+            n,
         )
         done = after.where("label <> was").isEmpty()
         dropped(nearer)

@@ -90,8 +90,8 @@ def shared(entries: DataFrame) -> DataFrame:
     the first and last of them in an order of the bucket's own."""
     order = F.struct(F.xxhash64("bucket", "node").alias("o"), F.col("node"))
     met = entries.groupBy("bucket").agg(F.min(order)["node"].alias("low"), F.max(order)["node"].alias("high"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-    met = written(met, "buckets")
-    least = entries.count() / HEAVY
+    n = entries.count()
+    met, least = written(met, "buckets", n // 2), n / HEAVY
     heavy = F.broadcast(met.where(F.col("n") > least))  # under HEAVY rows, whatever the input
     return entries.join(heavy, "bucket").unionByName(entries.join(met.where(F.col("n") <= least), "bucket"))
 
@@ -109,7 +109,7 @@ def pairs(members: DataFrame) -> DataFrame:
 def close_prints(prints: DataFrame) -> DataFrame:
     """(a, b): candidates among prints (node, fp): the lowest node of every fingerprint meets the others of it and those of
     fingerprints within two bits."""
-    firsts = written(prints.groupBy("fp").agg(F.min("node").alias("node")), "firsts")
+    firsts = written(prints.groupBy("fp").agg(F.min("node").alias("node")), "firsts", prints.count())
     same = prints.join(firsts.withColumnRenamed("node", "other"), "fp").select("node", "other")
     near = ball_links(firsts.select("fp")).join(firsts.select(F.col("fp").alias("a"), "node"), "a").join(firsts.select(F.col("fp").alias("b"), F.col("node").alias("other")), "b")
     ends = same.unionByName(near.select("node", "other")).where("node <> other")
@@ -177,7 +177,7 @@ def crossings(members: DataFrame, roots: DataFrame, sets: DataFrame, least: floa
     others all sets meet, in cells of two blocks of at most about BLOCK sets or BLOCK_BYTES: a cell counts what its sets
     share and passes on only links that join something, never its pairs.
     """
-    of = written(members.join(roots.withColumnRenamed("component", "root"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "of")
+    of = written(members.join(roots.withColumnRenamed("component", "root"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "of", members.count())
     mixed = of.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     met = written(of.join(mixed, "bucket").join(sets, "node"), "met")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("found")) / BLOCK_BYTES)).cast("int")
@@ -226,20 +226,21 @@ def links(rows: DataFrame, text_col: str, shingle: int = SHINGLE, least: float =
 
     some = rows.where("_node <> 0").select(F.col("_node").alias("node"), F.col("_fp").alias("fp"), F.col("_bands").alias("bands"), F.col("_mark").alias("mark"))
     entries = written(some.select("node", F.explode("bands").alias("bucket")).distinct(), "entries")
-    members = written(shared(entries), "members")
+    members = written(shared(entries), "members", entries.count())
+    prints = written(some.groupBy("node").agg(F.min("fp").alias("fp")), "prints", entries.count() // BANDS)  # sets of equal hashes may differ in repeats, so in the print
     dropped(entries)
-    prints = written(some.groupBy("node").agg(F.min("fp").alias("fp")), "prints")  # sets of equal hashes may differ in repeats, so in the print
-    proposed = written(pairs(members).union(close_prints(prints)).distinct(), "pairs")
+    proposed = written(pairs(members).union(close_prints(prints)).distinct(), "pairs", 2 * members.count())
+    n = proposed.count()
     nodes = proposed.select(F.col("a").alias("node")).union(proposed.select("b")).distinct()
     marks = some.groupBy("node").agg(F.min("mark").alias("_mark")).join(nodes, "node", "left_semi").select("_mark")
     chosen = rows.join(marks, "_mark", "left_semi").dropDuplicates(["_mark"]).select(F.col("_node").alias("node"), F.col(text_col).alias("text"))
     sets = written(chosen.mapInArrow(over_batches(packed), "node long, found binary"), "sets")
     tried = proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    roots = written(connected_components(written(verified(tried, sets, least), "links_found")), "roots")
+    roots = written(connected_components(written(verified(tried, sets, least), "links_found", n)), "roots", n)
     for most in (CENTRES, None):
-        chosen = written(apart(proposed.join(tried, ["a", "b"], "left_anti"), roots, most), "apart")
+        chosen = written(apart(proposed.join(tried, ["a", "b"], "left_anti"), roots, most), "apart", n)
         tried = tried.unionByName(chosen)
-        roots = merged(roots, written(verified(chosen, sets, least), "links_found"))
+        roots = merged(roots, written(verified(chosen, sets, least), "links_found", n))
     roots = merged(roots, written(crossings(members.where("n > 3").select("bucket", "node"), roots, sets, least), "links_found"))
     dropped(proposed, sets, prints, members)
     return roots
@@ -250,11 +251,12 @@ def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
     if more.isEmpty():
         return roots
     new = more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("component"))
-    nodes = written(roots.unionByName(new), "roots")
+    n = roots.count() + 2 * more.count()
+    nodes = written(roots.unionByName(new), "roots", n)
     of = lambda end: nodes.select(F.col("node").alias(end), F.col("component").alias(f"root_{end}"))
     ends = more.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     top = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("top"))
-    return written(nodes.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "roots")
+    return written(nodes.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "roots", n)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:

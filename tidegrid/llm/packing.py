@@ -219,7 +219,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     task after those of earlier tasks, so nothing is sorted and a length or id that most pieces share makes no large group.
     """
     cut = written(pieces(docs, path or vocabulary(), capacity, end_id, id_col, text_col, special), "pieces")
-    sizes = written(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "sizes")  # up to `capacity` rows a task
+    sizes = written(cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "sizes", cut.count())  # up to `capacity` rows a task
     histogram = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs = sorted(plan(histogram, capacity))
     before = sizes.selectExpr("length", "task", "sum(n) over (partition by length order by task) - n as before")

@@ -86,12 +86,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     looked at, whatever they are called.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "prints")
-    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    roots = written(connected_components(ball_links(firsts)), "roots")  # of distinct fingerprints only
+    rows = prints.count()
+    firsts = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "firsts", rows)
+    roots = written(connected_components(ball_links(firsts)), "roots", rows)  # of distinct fingerprints only
     linked = roots.withColumnRenamed("node", "fp").join(firsts, "fp").select("fp", "component", "first")
     lowest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     changed = linked.join(lowest, "component").select("fp", "component_id")
-    named = written(firsts.join(changed, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "named")
+    named = written(firsts.join(changed, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "named", rows)
     dropped(firsts, roots)
     least = (named.agg(F.sum("n")).first()[0] or 0) / HEAVY
     heavy = F.broadcast(named.where(F.col("n") > least).select("fp", "component_id"))  # under HEAVY rows, whatever the input
