@@ -19,12 +19,14 @@ def alike(a, b):
 
 
 def brute_groups(texts):
+    """The first position reachable from each, over all pairs that are alike."""
     sets, low = [brute_set(t) for t in texts], list(range(len(texts)))
-    for _ in texts:
-        for i in range(len(texts)):
-            for j in range(i):
-                if low[i] != low[j] and alike(sets[i], sets[j]):
-                    low[i] = low[j] = min(low[i], low[j])
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+    before = None
+    while before != low:
+        before = list(low)
+        for i, j in pairs:
+            low[i] = low[j] = min(low[i], low[j])
     return low
 
 
