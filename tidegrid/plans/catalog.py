@@ -174,7 +174,7 @@ add_fetch("fetch_orders_month", A.e4, DAILY, Y96, Y96 + 365 * DAY, ["*", "*"])
 
 add_fetch("fetch_unknown_first", A.e1, HOURLY, D2, D2 + 3 * DAY, ["zzz"])
 add_fetch("fetch_leading_wild_users", A.e2, HOURLY, D2, D2 + 2 * DAY, ["*", "3", "*"])
-add_fetch("fetch_leading_wild_nation", A.e7, DAILY, Y96, Y96 + 45 * DAY, ["*", "JAPAN"])
+add_fetch("fetch_leading_wild_nation", A.e7, DAILY, Y96, Y96 + 45 * DAY, ["*", "NATION_9"])
 add_fetch("fetch_ragged", A.e3, HOURLY, D2, D2 + 2 * DAY, ["*", "*"])
 
 SPAN = (JAN - 2 * DAY, D2 + 2 * DAY + 3 * HOUR)
@@ -245,21 +245,21 @@ RANGES = [(5, 1), (-1, HOUR), (0, 0), (0, HOUR - 1), (HOUR, HOUR), (HOUR + 1, HO
 
 
 def range_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which ranges are errors, and the buckets and epochs of the others."""
+    """Which ranges are errors, and the buckets and epochs of the others; -1 where there are none."""
     out = []
     for start, end in RANGES:
         try:
             r = ns_range(start, end, HOURLY)
-            out.append((start, end, "empty" if r.empty else "range", r.lo, r.hi, r.first_epoch, None if r.empty else r.last_epoch))
+            out.append((start, end, "empty" if r.empty else "range", r.lo, r.hi, r.first_epoch, -1 if r.empty else r.last_epoch))
         except InvalidTime:
-            out.append((start, end, "error", None, None, None, None))
+            out.append((start, end, "error", -1, -1, -1, -1))
     return spark.createDataFrame(out, "start_ns long, end_ns long, kind string, lo long, hi long, first_epoch long, last_epoch long")
 
 
 add("range_rules", range_rules, f"""with r as (select * from (values {", ".join(f"({a}::bigint, {b}::bigint)" for a, b in RANGES)}) x(s, e)),
     k as (select s, e, s < 0 or e < s or e < {HOUR} as bad, s // {HOUR} * {HOUR} as lo, e // {HOUR} * {HOUR} as hi from r)
-    select s as start_ns, e as end_ns, case when bad then 'error' when lo >= hi then 'empty' else 'range' end as kind, case when not bad then lo end as lo, case when not bad then hi end as hi,
-        case when not bad then lo // {DAY} * {DAY} end as first_epoch, case when not bad and lo < hi then (hi - 1) // {DAY} * {DAY} end as last_epoch from k""")
+    select s as start_ns, e as end_ns, case when bad then 'error' when lo >= hi then 'empty' else 'range' end as kind, case when not bad then lo else -1 end as lo, case when not bad then hi else -1 end as hi,
+        case when not bad then lo // {DAY} * {DAY} else -1 end as first_epoch, case when not bad and lo < hi then (hi - 1) // {DAY} * {DAY} else -1 end as last_epoch from k""")
 
 
 def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,22 +273,22 @@ def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("rejected_rows", rejected_rows, f"select case when total > 90 then 'invalid timestamp' else 'invalid fields' end as reason, count(*) as n from ({SQL[A.e1]}) where total > 90 or total < 10 group by 1")
 
-DURATIONS = [("1h", 3_600 * 10**9), ("1h30m", 5_400 * 10**9), ("90s", 90 * 10**9), ("1.5s", 1_500_000_000), ("-2ms", -2_000_000), ("0", 0), ("5", None), ("", None), ("1x", None), ("1 h", None)]
+DURATIONS = [("1h", 3_600 * 10**9), ("1h30m", 5_400 * 10**9), ("90s", 90 * 10**9), ("1.5s", 1_500_000_000), ("-2ms", -2_000_000), ("0", 0), ("5", -1), ("", -1), ("1x", -1), ("1 h", -1)]
 
 
 def duration_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What duration strings mean in nanoseconds; null for those that are none."""
+    """What duration strings mean in nanoseconds; -1 for those that are none."""
 
-    def meant(text: str) -> int | None:
+    def meant(text: str) -> int:
         try:
             return parse_duration(text)
         except InvalidParams:
-            return None
+            return -1
 
     return spark.createDataFrame([(t, meant(t)) for t, _ in DURATIONS], "text string, ns long")
 
 
-add("duration_rules", duration_rules, f"select * from (values {', '.join(f"('{t}', {'null' if n is None else n}::bigint)" for t, n in DURATIONS)}) x(text, ns)")
+add("duration_rules", duration_rules, f"select * from (values {', '.join(f"('{t}', {n}::bigint)" for t, n in DURATIONS)}) x(text, ns)")
 
 # duration, resolution, retention, limits on open epochs
 PARAMS = [("1h", "1m", "24h", 10, 3, True), ("1h", "31m", "24h", 10, 3, False), ("1h", "1m", "90m", 10, 3, False), ("1h", "1m", "24h", 10, 0, False), ("1h", "1h", "1h", 1, 1, True), ("0", "1m", "24h", 1, 1, False), ("1h", "2h", "24h", 1, 1, False), ("-1h", "1m", "24h", 1, 1, False)]
