@@ -236,11 +236,11 @@ def links(rows: DataFrame, text_col: str, shingle: int = SHINGLE, least: float =
     chosen = rows.join(marks, "_mark", "left_semi").dropDuplicates(["_mark"]).select(F.col("_node").alias("node"), F.col(text_col).alias("text"))
     sets = written(chosen.mapInArrow(over_batches(packed), "node long, found binary"), "sets")
     tried = proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    roots = written(connected_components(written(verified(tried, sets, least), "links_found", n)), "roots", n)
+    roots = written(connected_components(written(verified(tried, sets, least), "links_found")), "roots", n)
     for most in (CENTRES, None):
         chosen = written(apart(proposed.join(tried, ["a", "b"], "left_anti"), roots, most), "apart", n)
         tried = tried.unionByName(chosen)
-        roots = merged(roots, written(verified(chosen, sets, least), "links_found", n))
+        roots = merged(roots, written(verified(chosen, sets, least), "links_found"))
     roots = merged(roots, written(crossings(members.where("n > 3").select("bucket", "node"), roots, sets, least), "links_found"))
     dropped(proposed, sets, prints, members)
     return roots
