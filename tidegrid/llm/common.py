@@ -67,6 +67,13 @@ _made: list[str] = []
 FILE_ROWS = 50_000
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files that written_alone() deletes like tables of written()."""
+    path = new_path(spark, name)
+    _made.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors.
 
@@ -87,10 +94,11 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of written() that no later result reads."""
     for df in tables:
-        _deleted(df.sparkSession, df._tidegrid_path)
+        deleted(df.sparkSession, df._tidegrid_path)
 
 
-def _deleted(spark: SparkSession, path: str) -> None:
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes what written() or scratch() named so."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     if path in _made:
@@ -102,7 +110,7 @@ def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
     before = set(_made)
     out = written(make(), name)
     for path in [p for p in _made if p not in before and p != out._tidegrid_path]:
-        _deleted(out.sparkSession, path)
+        deleted(out.sparkSession, path)
     return out
 
 

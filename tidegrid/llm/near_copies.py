@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tidegrid.llm.common import dropped, numbered, over_batches, parallelism, written
+from tidegrid.llm.common import deleted, dropped, numbered, parallelism, written
 from tidegrid.llm.components import connected_components, first_of_each
 from tidegrid.llm.simhash import SEED, ball_links, hashes, majority
+from tidegrid.llm.stored_sets import PLACE, Reader, stored
 from tidegrid.llm.words import texts
 
 SHINGLE, LEAST = 5, 0.8
@@ -116,17 +117,23 @@ def close_prints(prints: DataFrame) -> DataFrame:
     return ends.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
-def verified(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets (node, found) have the least similarity."""
+def verified(candidates: DataFrame, sets: DataFrame, folder: str, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets, at the places (node, file, at, size) in the folder, have the least similarity.
 
-    def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        of = lambda x: np.frombuffer(x, "<u8")
-        good = [jaccard(of(x), of(y)) >= least for x, y in zip(texts(batch.column(2)), texts(batch.column(3)), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+    Pairs are dealt over all tasks and read their sets: a set that many pairs share is not passed on with each of them.
+    """
+
+    def check(batches):
+        of = Reader(folder)
+        for batch in batches:
+            if batch.num_rows:
+                places = zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True)
+                good = [jaccard(of(*p[:3]), of(*p[3:])) >= least for p in places]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("found").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
-    return candidates.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(over_batches(check), "a long, b long")
+    left, right = (sets.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in PLACE)) for end in ("a", "b"))
+    placed = candidates.join(right, "b").join(left, "a").select("a", "b", *(f"{end}_{c}" for end in ("a", "b") for c in PLACE))
+    return placed.repartition(2 * parallelism(sets.sparkSession), "a", "b").sortWithinPartitions("a_file", "a_at").mapInArrow(check, "a long, b long")
 
 
 def apart(candidates: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
@@ -169,43 +176,47 @@ def across(found: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, least:
     return out
 
 
-def crossings(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def crossings(members: DataFrame, roots: DataFrame, sets: DataFrame, folder: str, least: float) -> DataFrame:
     """(a, b): links of the least similarity between members (bucket, node) of one bucket that are in different components,
     enough to join all that have it.
 
     Buckets whose members are all in one component, as a large group of near copies mostly is by now, cost nothing. In the
-    others all sets meet, in cells of two blocks of at most about BLOCK sets or BLOCK_BYTES: a cell counts what its sets
-    share and passes on only links that join something, never its pairs.
+    others every set meets all but those of its own component where that is the bucket's largest, in cells of two blocks of at
+    most about BLOCK sets or BLOCK_BYTES. Cells are dealt places of sets and read the sets: what is shuffled doesn't grow with
+    their length. A cell counts what its sets share and passes on only links that join something, never its pairs.
     """
-    of = written(members.join(roots.withColumnRenamed("component", "root"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "of", members.count())
-    mixed = of.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    met = written(of.join(mixed, "bucket").join(sets, "node"), "met")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("found")) / BLOCK_BYTES)).cast("int")
-    dealt = met.join(met.groupBy("bucket").agg(blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("bucket", "node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root", "found")
+    n = members.count()
+    of = written(members.join(roots.withColumnRenamed("component", "root"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "of", n)
+    mixed = of.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots"))
+    met = written(of.join(mixed.where("roots > 1").select("bucket", "main"), "bucket").join(sets, "node").withColumn("rest", F.col("root") != F.col("main")), "met", n)
+    blocks = lambda rest: F.ceil(F.greatest(F.count_if(rest) / BLOCK, F.sum(F.when(rest, F.col("size"))) / BLOCK_BYTES)).cast("int")
+    dealt = met.join(met.groupBy("bucket").agg(blocks(~F.col("rest")).alias("large"), blocks(F.col("rest")).alias("small")), "bucket")
+    place = F.xxhash64("bucket", "node")
+    dealt = dealt.withColumn("own", F.when(F.col("rest"), F.col("large") + F.pmod(place, F.col("small"))).otherwise(F.pmod(place, F.col("large"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("rest"), 0).otherwise(F.col("large")), F.col("large") + F.col("small") - 1)))
+    cells = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root", *PLACE)
     cells = cells.repartition(4 * parallelism(sets.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
     def compared(batches):
-        cell, held = None, []
+        set_of, cell, held = Reader(folder), None, []
 
         def told():
-            node, root, side = (np.array(x) for x in zip(*((n, r, s) for n, r, s, _ in held), strict=True))
-            for i, j in across([f for *_, f in held], root, side, least) if len(held) > 1 else ():
-                yield min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))
+            node, root, side = (np.array(x) for x in zip(*(r[:3] for r in held), strict=True))
+            if len(held) > 1 and (root != root[0]).any():
+                for i, j in across([set_of(*r[3:]) for r in held], root, side, least):
+                    yield min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))
 
         def batch_of(pairs):
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            side, node, root = (batch.column(k).to_pylist() for k in (3, 4, 5))
-            for k, raw in enumerate(texts(batch.column(6))):
-                if keys[k] != cell:
+            columns = [batch.column(k).to_pylist() for k in range(9)]
+            for *key, side, node, root, file, at, size in zip(*columns, strict=True):
+                if key != cell:
                     if held and (pairs := list(told())):
                         yield batch_of(pairs)
-                    cell, held = keys[k], []
-                held.append((node[k], root[k], side[k], np.frombuffer(raw, "<u8")))
+                    cell, held = key, []
+                held.append((node, root, side, file, at, size))
         if held and (pairs := list(told())):
             yield batch_of(pairs)
 
@@ -220,10 +231,6 @@ def links(rows: DataFrame, text_col: str, shingle: int = SHINGLE, least: float =
     near copies costs few comparisons of sets. In buckets of over three members that still hold several components all
     members of different ones are then compared.
     """
-
-    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, shingle).astype("<u8").tobytes() for t in texts(batch.column(1))], pa.binary())], names=["node", "found"])
-
     some = rows.where("_node <> 0").select(F.col("_node").alias("node"), F.col("_fp").alias("fp"), F.col("_bands").alias("bands"), F.col("_mark").alias("mark"))
     entries = written(some.select("node", F.explode("bands").alias("bucket")).distinct(), "entries")
     members = written(shared(entries), "members", entries.count())
@@ -234,15 +241,16 @@ def links(rows: DataFrame, text_col: str, shingle: int = SHINGLE, least: float =
     nodes = proposed.select(F.col("a").alias("node")).union(proposed.select("b")).distinct()
     marks = some.groupBy("node").agg(F.min("mark").alias("_mark")).join(nodes, "node", "left_semi").select("_mark")
     chosen = rows.join(marks, "_mark", "left_semi").dropDuplicates(["_mark"]).select(F.col("_node").alias("node"), F.col(text_col).alias("text"))
-    sets = written(chosen.mapInArrow(over_batches(packed), "node long, found binary"), "sets")
+    sets, folder = stored(chosen, lambda t: shingles(t, shingle))
     tried = proposed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    roots = written(connected_components(written(verified(tried, sets, least), "links_found")), "roots", n)
+    roots = written(connected_components(written(verified(tried, sets, folder, least), "links_found")), "roots", n)
     for most in (CENTRES, None):
         chosen = written(apart(proposed.join(tried, ["a", "b"], "left_anti"), roots, most), "apart", n)
         tried = tried.unionByName(chosen)
-        roots = merged(roots, written(verified(chosen, sets, least), "links_found"))
-    roots = merged(roots, written(crossings(members.where("n > 3").select("bucket", "node"), roots, sets, least), "links_found"))
+        roots = merged(roots, written(verified(chosen, sets, folder, least), "links_found"))
+    roots = merged(roots, written(crossings(members.where("n > 3").select("bucket", "node"), roots, sets, folder, least), "links_found"))
     dropped(proposed, sets, prints, members)
+    deleted(rows.sparkSession, folder)
     return roots
 
 
