@@ -471,16 +471,32 @@ def stream_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("stream_replayed", stream_replayed, ORACLE_SQL["stream_rollup"])
 
 
+#: Micro-batches that events out of order come in, however many they are.
+SLICES = 8
+
+
 def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that come newest first, in several micro-batches, tracked by a stream without watermark."""
-    source = scratch(spark, "newest_first")
-    A.table(spark, sf_dir, "events").orderBy(F.desc("ts")).coalesce(1).write.option("maxRecordsPerFile", 4_000).parquet(source)
-    rows = spark.readStream.schema(A.table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    """Events that come newest first, in several micro-batches, tracked by a stream without watermark.
+
+    The events are written once, in slices of about as many by their time; a slice comes in by one renaming when the stream
+    has tracked those before, so micro-batches grow with the table, not their number.
+    """
+    rows, at = A.table(spark, sf_dir, "events"), nanoseconds(F.col("ts"))
+    bounds = rows.select(at.alias("t")).approxQuantile("t", [k / SLICES for k in range(1, SLICES)], 0.01)
+    later = [F.coalesce((at <= int(b)).cast("int"), F.lit(1)) for b in bounds]
+    sliced = rows.withColumn("slice", sum(later, F.lit(0))).sortWithinPartitions("slice", F.desc("ts"))
+    waiting, source = scratch(spark, "newest_first"), scratch(spark, "come_in")
+    sliced.write.partitionBy("slice").parquet(waiting)
     store = store_of(spark, "out_of_order")
-    events = A.shaped(rows, F.col("ts"), [F.col("event_type"), F.col("user_id") % 5], F.col("value"))
-    track_stream(events, store, scratch(spark, "checkpoint"), once=True)
-    store.streams[-1].awaitTermination()
-    store.close()
+    store.files.folder(source)
+    come = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(source)
+    track_stream(A.shaped(come, F.col("ts"), [F.col("event_type"), F.col("user_id") % 5], F.col("value")), store, scratch(spark, "checkpoint"))
+    try:
+        for name in store.files.folders(waiting):  # slice=0, the newest, is the first of less than ten
+            store.files.rename(f"{waiting}/{name}", f"{source}/{name}")
+            store.sync()
+    finally:
+        store.close()
     return listed(rollup.summed(store.cells().where("depth = 2")))
 
 

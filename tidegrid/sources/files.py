@@ -56,6 +56,17 @@ class Files:
         over[0] = kind.OVERWRITE
         fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration()).rename(at, fs.Path(path), over)
 
+    def folder(self, path: str) -> None:
+        """Makes a folder, where there is none."""
+        system, at = self._at(path)
+        system.mkdirs(at)
+
+    def rename(self, path: str, to: str) -> None:
+        """Gives a file or folder another name in the same store."""
+        system, at = self._at(path)
+        if not system.rename(at, self.jvm.org.apache.hadoop.fs.Path(to)):
+            raise OSError(f"{path} can't be renamed to {to}")
+
     def delete(self, path: str) -> None:
         system, at = self._at(path)
         system.delete(at, True)
